@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, tokens, warc
+from . import bpe, html_text, media, packing, quality, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,32 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 as over_limit")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 #: Payload digests as SQL: twenty bits of the hexadecimal SHA-1 are four letters of base32.
 _BASE32 = """array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform([32768, 1024, 32, 1],
   lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) // d) % 32 + 1 AS INT), 1)), 'string_agg', '')), '')"""
 
-QUERIES = {"op4_warc": op4_warc, "op6_bpe": op6_bpe, "op7_media": op7_media, "op8_token_counts": op8_token_counts}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_warc": op4_warc,
+    "op6_bpe": op6_bpe,
+    "op7_media": op7_media,
+    "op8_token_counts": op8_token_counts,
+    "op9_quality": op9_quality,
+    "op10_html": op10_html,
+}
 
 ORACLE_SQL = {
     "op4_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
