@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, media, packing, quality, tokens, warc
+from . import bpe, html_text, jaccard, media, packing, quality, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")), keep=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,6 +54,7 @@ _BASE32 = """array_to_string(list_transform(range(8), lambda i: list_aggregate(l
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
