@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,8 @@ def stored(df: DataFrame, name: str = "step", codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gazeflow/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files behind what is now written
     back = spark.read.schema(df.schema).parquet(path)
     back._gazeflow_path = path
     return back
