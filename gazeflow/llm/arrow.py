@@ -45,3 +45,28 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
                     yield pa.RecordBatch.from_arrays(f(part), names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def grouped(batches, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Groups of equal values of the first ``keys`` columns, whose rows stand together; meant for groups of bounded size."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i] != rows[start]:
+                if key is not None and rows[start] != key:
+                    yield key, whole()
+                    held = []
+                key = rows[start]
+                held.append(batch.slice(start, i - start))
+                start = i
+    if held:
+        yield key, whole()
