@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html_text, jaccard, media, packing, quality, tokens, warc
+from . import bpe, embeddings, html_text, jaccard, media, packing, quality, suffix_array, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 as over_limit")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.dedup(_table(spark, sf_dir, "documents"), window=100).drop("spans", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids")
 
@@ -57,6 +61,7 @@ _BASE32 = """array_to_string(list_transform(range(8), lambda i: list_aggregate(l
   lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) // d) % 32 + 1 AS INT), 1)), 'string_agg', '')), '')"""
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_packing": op2_packing,
     "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
