@@ -336,17 +336,31 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     return found
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_doc``, a row's place in the order of documents: its id, or for rows without one a place after all ids by their text's hash."""
+    place = F.lit(LAST) - F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(1 << 40))
+    return docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), place))
+
+
+def kept_bytes(raw: bytes, places: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and the maximal runs that go."""
+    cut = merged([(p["start"], min(p["end"], len(raw))) for p in places or () if p["start"] < len(raw)])
+    ends = [0, *(b for _, b in cut)]
+    return b"".join([raw[e:a] for e, a in zip(ends, [*(a for a, _ in cut), len(raw)], strict=True)]), cut
+
+
 def dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte that is covered by a string of ``window`` bytes which also starts earlier in the corpus.
 
     Documents are ordered by id; matches do not cross them, overlaps count, and all is judged on the input. Returns per row: the
     id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, spans (start and end of each run) and kept (the
-    remaining bytes). A null text is empty. Rows without an id come last; rows of equal ids count as one document, whose equal
-    places do not repeat each other. No rows give no rows, and other columns are not read.
+    remaining bytes). A null text is empty. Rows without an id come last, in the order of a hash of their texts; rows of equal
+    ids count as one document, whose equal places do not repeat each other. No rows give no rows, and other columns are not read.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    given = keyed(docs.select(F.col(id_col).cast("long").alias("_given"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "_given", "text").withColumnRenamed("_doc", "doc")
     found = repeats(given.select("doc", "text"), window)
     joined = given.join(found, "doc", "left").select("_given", "text", "list")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
     def run(batches):
         for batch in batches:
@@ -354,12 +368,33 @@ def dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col:
                 out = []
                 for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     raw = text.encode()
-                    cut = merged([(p["start"], min(p["end"], len(raw))) for p in places or () if p["start"] < len(raw)])
-                    ends = [0, *(b for _, b in cut)]
-                    kept = b"".join([raw[e:a] for e, a in zip(ends, [*(a for a, _ in cut), len(raw)], strict=True)])
+                    kept, cut = kept_bytes(raw, places)
                     out.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in cut], kept))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
                 if out:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs``, all columns, with repeated bytes cut from the texts and ``length_col`` set to the characters left.
+
+    Bytes of a character that was cut in two go too. A document that had text and has none left is dropped; null and empty texts stay.
+    """
+    given = keyed(docs, id_col, text_col)
+    found = repeats(given.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), window)
+    joined = given.join(found.select(F.col("doc").alias("_doc"), F.col("list").alias("_list")), "_doc", "left").select(*docs.columns, "_list")
+    at, length = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, at):
+                texts = [t if t is None or not p else kept_bytes(t.encode(), p)[0].decode("utf-8", "ignore") for t, p in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                stays = pa.array([bool(t) or not before for t, before in zip(texts, columns[at].to_pylist(), strict=True)], pa.bool_())
+                columns[at] = pa.array(texts, columns[at].type)
+                if length is not None:
+                    columns[length] = pa.array([n if t == before else len(t) for t, before, n in zip(texts, part.column(at).to_pylist(), columns[length].to_pylist(), strict=True)], columns[length].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1]).filter(stays)
+
+    return joined.mapInArrow(run, docs.schema)
