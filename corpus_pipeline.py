@@ -1,10 +1,56 @@
-"""A corpus pipeline: each stage works on all that the stage before it kept."""
+"""A corpus pipeline over documents: quality, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns
+of their input. Clean documents stay: a document goes only if the classifier rejects it, if a document with a smaller id is
+in its near-duplicate group, or if nothing is left of its text once repeated passages are cut.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from gazeflow.llm import jaccard, packing, quality, suffix_array
+from gazeflow.session import ensure_package, stored
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, does not reject."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    groups = jaccard.join_components(docs, words=5, num=4, den=5)
+    return docs.join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes that are covered by a string of 100 bytes which also starts earlier; emptied ones go."""
+    return suffix_array.cut_repeats(docs, window=100)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids")
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("best_fit_packing", pack),
+]
+
+#: A trained classifier and a packing have no SQL form; tests/llm/test_pipeline.py holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to documents; what each returns is written and read again."""
+    ensure_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
