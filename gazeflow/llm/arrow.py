@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Texts are handled in slices of about this many bytes, so a batch of very long documents stays small in memory.
@@ -21,7 +22,7 @@ def slices(batch: pa.RecordBatch, column: int | None = None, limit: int = SLICE_
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
@@ -36,7 +37,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
 
         f = make()
         for batch in batches:

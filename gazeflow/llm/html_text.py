@@ -36,6 +36,7 @@ LABELLED = (
     "<body><div id=header><a href=/>Site</a> <a href=/a>About us</a></div><div id=main>[[<h2>Small gardens</h2><p>Plant the seeds in rows and water them well.<p>After two weeks the first leaves show; thin them out then.<ul><li>Use good soil.<li>Keep the bed free of weeds.</ul>]]</div><div class=comments><p>Great post, thank you!</p><p>I agree with all of it.</p></div><div class=footer>Contact</div></body>",
     "<body><header><h1>The Paper</h1><p>Your daily news</p></header><main>[[<h1>Council votes on bridge</h1><p>The council voted on Tuesday to build a second bridge across the river, after years of debate.</p><blockquote>It is the right step, said the mayor.</blockquote><p>Work begins next spring and will take three years.</p>]]</main><aside><h3>Read also</h3><ul><li><a>Ten best bridges</a><li><a>Rivers of the north</a></ul></aside><form>Your mail <input> Subscribe</form></body>",
     "<body><table><tr><td><a href=1>One</a><a href=2>Two</a></td><td>[[<p>This page tells how the mill works and who built it first.</p><p>Its wheel turns with the stream, day and night.</p>]]</td></tr></table><p class=cookie-notice>We use cookies on this site.</p></body>",
+    "<body><nav>Start Shop</nav><article>[[<h1>Bread</h1><p>Knead the dough for ten minutes and let it rest.</p><aside>Our offer today</aside><p>Bake it until it is brown.</p>]]<div class=comments>So good! I made it twice.</div></article></body>",
 )
 
 
@@ -55,7 +56,7 @@ class Page:
                 text = html.unescape(source[at:end])
                 words = len(text.split())
                 outside = bool(stack) and stack[-1][1]
-                items.append(("boiler" if outside else ("list" if lists else "link") if links else "text", words, text, False))
+                items.append((self.outer(stack, "boiler", "inner") if outside else ("list" if lists else "link") if links else "text", words, text, False))
             if not m:
                 break
             at = m.end()
@@ -100,7 +101,12 @@ class Page:
                     lists += name in ("ul", "ol")
             outside = bool(stack) and stack[-1][1]
             block = name not in INLINE
-            items.append(("boilertag" if outside else "block" if block else "inline", 1, None, block))
+            items.append((self.outer(stack, "boilertag", "innertag") if outside else "block" if block else "inline", 1, None, block))
+
+    @staticmethod
+    def outer(stack: list[tuple[str, bool]], kind: str, within: str) -> str:
+        """Boilerplate within an article, such as an advert between its paragraphs, is of another kind than that around it."""
+        return within if any(name in ("article", "main") and not out for name, out in stack) else kind
 
     @staticmethod
     def boilerplate(name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
@@ -130,8 +136,9 @@ def weights(labelled: tuple[str, ...] = LABELLED) -> dict[str, float]:
         for i, (kind, words, _, _) in enumerate(Page(before + own + after).items):
             to = inside if n[0] <= i < n[1] else outside
             to[kind] = to.get(kind, 0) + words
-    out = {k: math.log((inside.get(k, 0) + 1) / (outside.get(k, 0) + 1)) for k in ("text", "link", "list", "boiler", "block", "inline", "boilertag")}
-    for k in ("block", "inline", "boilertag"):  # a tag never speaks for a region, and a paragraph of one word may end one
+    out = {k: math.log((inside.get(k, 0) + 1) / (outside.get(k, 0) + 1)) for k in ("text", "link", "list", "boiler", "inner", "block", "inline", "boilertag", "innertag")}
+    out["inner"] = min(out["inner"], -0.1)
+    for k in ("block", "inline", "boilertag", "innertag"):  # a tag never speaks for a region, and a paragraph of one word may end one
         out[k] = max(min(out[k], -0.1), -out["text"] / 16)
     return out
 
@@ -159,7 +166,7 @@ def main_text(source: str | None, weight: dict[str, float] = WEIGHTS) -> str:
     inline: list[str] = []
     for kind, _, text, breaks in items[low:high]:
         if text is not None:
-            if kind != "boiler":
+            if kind not in ("boiler", "inner"):
                 inline.append(text)
         elif breaks:
             if inline:

@@ -74,6 +74,19 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), sets AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM g GROUP BY doc_id),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS r FROM sets),
+d AS (SELECT g.doc_id, g.s FROM g JOIN rep ON rep.doc_id = g.doc_id AND rep.r = g.doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM d a JOIN d b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x.a, x.b FROM x JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * x.k >= 85 * (p.n + q.n - x.k)
+  UNION SELECT r, doc_id FROM rep WHERE r <> doc_id),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id FROM documents t JOIN (SELECT node, min(other) AS c FROM reach GROUP BY node) m ON m.node = t.doc_id
+LEFT JOIN n ON n.doc_id = t.doc_id""",
     "op5_embeddings": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 w AS (SELECT *, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM v),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
