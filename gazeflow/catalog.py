@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = None
+from .plans import image_queries, transform_queries, relational_queries, vigilance_queries
+
+MODULES = (vigilance_queries, relational_queries, image_queries, transform_queries)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
+FLAGSHIP = vigilance_queries.QUERIES["perclos_alerts"]
