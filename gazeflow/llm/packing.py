@@ -9,7 +9,6 @@ pieces of equal length, which is a rank within a task plus the counts of the tas
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .arrow import map_rows, slices
-from .tokens import WORD
+from .tokens import WORD, PrefixCounter
 
 ODD = re.compile("[\x1c-\x1f]")
 #: Distinct chunks whose ids a worker keeps.
@@ -50,7 +49,7 @@ class ChunkEncoder:
                 self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
                 split.append(None)
             else:
-                split.append(WORD.findall(c.lower() if c.isascii() else "".join(x.lower() for x in unicodedata.normalize("NFC", c))))
+                split.append(WORD.findall(PrefixCounter.normal(c)))
         new = list({w for s in split if s for w in s if w not in known})
         for at in range(0, len(new), 256):
             some = new[at : at + 256]
