@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -59,3 +60,12 @@ def discard(df: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of a few numbers each that may be broadcast: a few megabytes.
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (stored, narrow) with a broadcast hint if it has at most so many rows; else as it is, so that both sides are shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
