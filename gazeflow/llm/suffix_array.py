@@ -26,8 +26,10 @@ from .arrow import grouped, slices
 CLASS_ROWS = 2000
 #: Bytes of stretches whose suffixes are sorted together (whole classes).
 SORT_BYTES = 1 << 19
+#: Bytes of text that are cut into stretches at once; working memory is about a hundred times that.
+CUT_BYTES = 1 << 20
 #: Stretches whose copies a task looks for at once before they are dealt out.
-LOCAL_ROWS = 1_000_000
+LOCAL_ROWS = 500_000
 #: The place of documents without an id: after all others.
 LAST = (1 << 63) - 1
 
@@ -176,7 +178,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[at]), pa.array(s[at]), pa.array(s[at]), pa.array(high[stop])], names=["cls", "own", "doc", "start", "anchor", "end"])
 
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, CUT_BYTES):
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 ids = part.column(0).to_numpy()
                 long = [i for i, t in enumerate(texts) if len(t) >= window]
