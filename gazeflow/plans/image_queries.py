@@ -193,3 +193,24 @@ def edge_preservation(d: DataFrame) -> DataFrame:
 # Texture
 stencil_lbp = [(-1, -1, 1), (-1, 0, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 16), (1, 0, 32), (1, -1, 64), (0, -1, 128)]
 add("img_lbp_histogram", lambda d: pixels(d, GRID.lbp(F.col("g"))).groupBy("img", F.col("v").alias("code")).agg(F.count("*").alias("n")), f"WITH {PX}, l AS (SELECT c.img, c.y, c.x, CAST(sum(CASE WHEN p.g >= c.g THEN n.k ELSE 0 END) AS INT) AS code FROM px c CROSS JOIN {values(stencil_lbp)} JOIN px p ON p.img = c.img AND p.y = greatest(0, least(7, c.y + n.dy)) AND p.x = greatest(0, least(7, c.x + n.dx)) GROUP BY c.img, c.y, c.x) SELECT img, code, count(*) AS n FROM l GROUP BY img, code")
+
+
+# Repeated erosion and dilation
+def curve(step: Callable[[Column], Column], mask: Column, times: int) -> Column:
+    """Foreground counts after 1, 2, ... steps."""
+
+    def after(m: Column, left: int, counts: list[Column]) -> Column:
+        counts = [*counts, F.aggregate(m, F.lit(0), lambda s, v: s + v).cast("long")]
+        return F.array(*counts) if left == 1 else grids.let(step(m), lambda n: after(n, left - 1, counts))
+
+    return grids.let(step(mask), lambda m: after(m, times, []))
+
+
+def curve_sql(aggregate: str, times: int) -> str:
+    steps = ", ".join(f"s{i} AS ({near_sql(f's{i - 1}' if i > 1 else 'mask', grids.CROSS, f'{aggregate}(V)', 'drop', 'v' if i > 1 else 'g')})" for i in range(1, times + 1))
+    parts = " UNION ALL ".join(f"SELECT img, {i} AS k, sum(v) AS n FROM s{i} GROUP BY img" for i in range(1, times + 1))
+    return f"WITH {PX}, {_MASK}, {steps} SELECT img, CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n FROM ({parts}) u"
+
+
+for _name, _step, _agg in (("erosion", GRID.erode, "min"), ("dilation", GRID.dilate, "max")):
+    add(f"mask_{_name}_curve", lambda d, f=_step: dark(d).select("img", F.posexplode(curve(lambda m: f(m, grids.CROSS), F.col("m"), 3)).alias("k", "n")).select("img", (F.col("k") + 1).alias("k"), "n"), curve_sql(_agg, 3))

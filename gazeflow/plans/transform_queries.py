@@ -179,3 +179,20 @@ UNION ALL SELECT q.img, q.y + dy * q.size // 2, q.x + dx * q.size // 2, q.size /
   WHERE q.size > 2 AND (SELECT max(g) - min(g) FROM px WHERE px.img = q.img AND px.y >= q.y AND px.y < q.y + q.size AND px.x >= q.x AND px.x < q.x + q.size) > 60),
 s AS (SELECT q.img, q.y, q.x, q.size, max(g) - min(g) AS r, CAST(floor(avg(g)) AS INT) AS mean FROM q JOIN px ON px.img = q.img AND px.y >= q.y AND px.y < q.y + q.size AND px.x >= q.x AND px.x < q.x + q.size GROUP BY ALL)
 SELECT img, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(size AS INT) AS size, mean FROM s WHERE r <= 60 OR size <= 2""")
+
+
+def adjacency(d: DataFrame, tolerance: int = 15) -> DataFrame:
+    """Pairs of quadtree leaves that touch, and how many of them may merge, by image. An image has at most 16 leaves."""
+    leaves = quadtree(d)
+    a, b = (leaves.select("img", *(F.col(c).alias(f"{c}{s}") for c in ("y", "x", "size", "mean"))) for s in "ab")
+    before = (F.col("ya") < F.col("yb")) | ((F.col("ya") == F.col("yb")) & (F.col("xa") < F.col("xb")))
+    meet = lambda p: (F.col(f"{p}a") < F.col(f"{p}b") + F.col("sizeb")) & (F.col(f"{p}b") < F.col(f"{p}a") + F.col("sizea"))
+    touch = lambda p: (F.col(f"{p}a") + F.col("sizea") == F.col(f"{p}b")) | (F.col(f"{p}b") + F.col("sizeb") == F.col(f"{p}a"))
+    pairs = a.join(b, "img").where(before & ((touch("y") & meet("x")) | (touch("x") & meet("y"))))
+    return pairs.groupBy("img").agg(F.count("*").alias("n_adjacent"), F.count_if(F.abs(F.col("meana") - F.col("meanb")) <= tolerance).alias("n_mergeable"))
+
+
+add("region_adjacency", adjacency, f"""WITH RECURSIVE {ORACLE_SQL['region_quadtree'].removeprefix('WITH RECURSIVE ').rpartition('SELECT img, CAST(y')[0]}, l AS (SELECT * FROM s WHERE r <= 60 OR size <= 2),
+p AS (SELECT a.img, abs(a.mean - b.mean) AS gap FROM l a JOIN l b ON a.img = b.img AND (a.y, a.x) < (b.y, b.x)
+  AND (((a.y + a.size = b.y OR b.y + b.size = a.y) AND a.x < b.x + b.size AND b.x < a.x + a.size) OR ((a.x + a.size = b.x OR b.x + b.size = a.x) AND a.y < b.y + b.size AND b.y < a.y + a.size)))
+SELECT img, count(*) AS n_adjacent, count(*) FILTER (gap <= 15) AS n_mergeable FROM p GROUP BY img""")
