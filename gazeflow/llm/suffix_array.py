@@ -146,8 +146,14 @@ def spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + window).tolist(), strict=True))
 
 
+def placed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Start and length in one number, ordered by start: what is dealt out once for every stretch of the corpus stays small."""
+    return start << 32 | end - start
+
+
 def stretch_table(docs: DataFrame, window: int) -> DataFrame:
-    """Stretches (cls, own, doc, start, anchor, end); those that equal an earlier one of the same task have a null ``cls``."""
+    """Stretches (cls, own, doc, place); those that equal an earlier one of the same task have a null ``cls``."""
+    names = ["cls", "own", "doc", "place"]
 
     def run(batches):
         cut = Stretches(window)
@@ -155,7 +161,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
         count = 0
 
         def flush():
-            doc, start, anchor, end, cls, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            doc, start, end, cls, own = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((start, doc, own, cls))
             new = np.ones(len(order), bool)
             new[1:] = (cls[order][1:] != cls[order][:-1]) | (own[order][1:] != own[order][:-1])
@@ -163,7 +169,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
             late = np.zeros(len(order), bool)
             late[order] = (doc[order] != doc[first]) | (start[order] != start[first])
             keep = ~late
-            yield pa.RecordBatch.from_arrays([pa.array(cls[keep].view(np.int64)), pa.array(own[keep].view(np.int64)), *(pa.array(x[keep]) for x in (doc, start, anchor, end))], names=["cls", "own", "doc", "start", "anchor", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[keep].view(np.int64)), pa.array(own[keep].view(np.int64)), pa.array(doc[keep]), pa.array(placed(start[keep], end[keep]))], names=names)
             if late.any():
                 ids = doc[late]
                 # adjoining repeats of a document are one
@@ -175,7 +181,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
                 at = np.flatnonzero(new)
                 stop = np.concatenate([at[1:], [len(ids)]]) - 1
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[at]), pa.array(s[at]), pa.array(s[at]), pa.array(high[stop])], names=["cls", "own", "doc", "start", "anchor", "end"])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[at]), pa.array(placed(s[at], high[stop]))], names=names)
 
         for batch in batches:
             for part in slices(batch, 1, CUT_BYTES):
@@ -184,8 +190,8 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
                 long = [i for i, t in enumerate(texts) if len(t) >= window]
                 if not long:
                     continue
-                of, *rest = cut([texts[i] for i in long])
-                held.append((ids[np.array(long)][of], *rest))
+                of, start, _, end, cls, own = cut([texts[i] for i in long])
+                held.append((ids[np.array(long)][of], start, end, cls, own))
                 count += len(of)
                 if count >= LOCAL_ROWS:
                     yield from flush()
@@ -193,40 +199,40 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "cls long, own long, doc long, start long, anchor long, end long")
+    return docs.mapInArrow(run, "cls long, own long, doc long, place long")
 
 
 def decided(stretches: DataFrame) -> DataFrame:
-    """(kind, doc, start, anchor, end, cls): repeats (kind 0) and the distinct stretches of classes that hold several (1, and 2 if very many)."""
-    columns = ("kind", "doc", "start", "anchor", "end", "cls")
+    """(kind, doc, start, end, cls): repeats (kind 0) and the distinct stretches of classes that hold several (1, and 2 if very many)."""
+    columns = ("kind", "doc", "place", "cls")
 
-    def made(kind, doc, start, anchor, end, cls):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (doc, start, anchor, end, cls))], names=columns)
+    def made(kind, doc, place, cls):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (doc, place, cls))], names=columns)
 
     def run(batches):
-        last: tuple | None = None  # class, hash, document and start of the first of the run at the end of a batch
-        open_: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(5)]
+        last: tuple | None = None  # class, hash, document and place of the first of the run at the end of a batch
+        open_: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(3)]
         many: int | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cls, own, doc, start, anchor, end = (batch.column(i).to_numpy() for i in range(6))
+            cls, own, doc, place = (batch.column(i).to_numpy() for i in range(4))
             new = np.ones(len(cls), bool)
             new[1:] = (cls[1:] != cls[:-1]) | (own[1:] != own[:-1])
             if last is not None and last[:2] == (cls[0], own[0]):
                 new[0] = False
             at = np.maximum.accumulate(np.where(new, np.arange(len(cls)), -1))
             fdoc = np.where(at >= 0, doc[at], last[2] if last else 0)
-            fstart = np.where(at >= 0, start[at], last[3] if last else 0)
-            late = (doc != fdoc) | (start != fstart)
-            last = (cls[-1], own[-1], fdoc[-1], fstart[-1])
+            fplace = np.where(at >= 0, place[at], last[3] if last else 0)
+            late = (doc != fdoc) | (place != fplace)
+            last = (cls[-1], own[-1], fdoc[-1], fplace[-1])
             if late.any():
-                yield made(0, doc[late], start[late], anchor[late], end[late], cls[late])
+                yield made(0, doc[late], place[late], cls[late])
             first = np.flatnonzero(new)
-            rest = [np.concatenate([a, b[first]]) for a, b in zip(open_, (doc, start, anchor, end, cls), strict=True)]
-            if not len(rest[4]):
+            rest = [np.concatenate([a, b[first]]) for a, b in zip(open_, (doc, place, cls), strict=True)]
+            c = rest[2]
+            if not len(c):
                 continue
-            c = rest[4]
             edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             size = np.diff(np.concatenate([edge, [len(c)]]))
             per = np.repeat(size, size)
@@ -239,17 +245,19 @@ def decided(stretches: DataFrame) -> DataFrame:
             open_ = [x[~ended] for x in rest]
             if many is not None and c[-1] != many:
                 many = None
-            if len(open_[4]) > CLASS_ROWS or many is not None:
+            if len(open_[2]) > CLASS_ROWS or many is not None:
                 many = int(c[-1])
-                if len(open_[4]):
+                if len(open_[2]):
                     yield made(2, *open_)
                 open_ = [x[:0] for x in open_]
-        if len(open_[4]) > 1:
+        if len(open_[2]) > 1:
             yield made(1, *open_)
 
-    dealt = stretches.where("cls is not null").repartition("cls").sortWithinPartitions("cls", "own", "doc", "start")
-    here = stretches.where("cls is null").select(F.lit(0).alias("kind"), "doc", "start", "anchor", "end", "cls")
-    return dealt.mapInArrow(run, "kind int, doc long, start long, anchor long, end long, cls long").unionByName(here)
+    dealt = stretches.where("cls is not null").repartition("cls").sortWithinPartitions("cls", "own", "doc", "place")
+    here = stretches.where("cls is null").select(F.lit(0).alias("kind"), "doc", "place", "cls")
+    rows = dealt.mapInArrow(run, "kind int, doc long, place long, cls long").unionByName(here)
+    start = F.shiftright("place", 32)
+    return rows.select("kind", "doc", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("end"), "cls")
 
 
 def with_lists(docs: DataFrame, rows: DataFrame, *columns: str, how: str = "inner") -> DataFrame:

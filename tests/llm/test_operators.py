@@ -350,7 +350,7 @@ def test_large_classes_are_dealt_out(spark):
     stretches = suffix_array.stored(suffix_array.stretch_table(docs, 50), "t")
     asked = suffix_array.stored(suffix_array.decided(stretches), "t")
     assert asked.where("kind = 1").count() > 0
-    large = asked.selectExpr("if(kind = 1, 2, kind) as kind", "doc", "start", "anchor", "end", "cls")
+    large = asked.selectExpr("if(kind = 1, 2, kind) as kind", "doc", "start", "end", "cls")
     found = suffix_array.dealt_repeats(docs, large, 50).union(asked.where("kind = 0").select("doc", "start", "end")).collect()
     by = {}
     for d, a, b in found:
