@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, stored
-from .arrow import slices
+from ..session import discard, small, stored
+from .arrow import grouped, slices
 from .graph import components
 
 U = np.uint64
@@ -266,8 +266,23 @@ def shared_segments(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "segment long, first long, sid long")
 
 
+def hubs(shared: DataFrame) -> DataFrame:
+    """(a, b, n): the sets b that share n segments with the set a which is the hub of these segments.
+
+    The hub of a segment is that of its sets which meets most others: the text that near copies were made from is closer to
+    all of them than they are to each other.
+    """
+    sizes = shared.groupBy("segment").agg(F.count("*").alias("size"))
+    met = shared.join(sizes, "segment").groupBy("sid").agg(F.sum("size").alias("met"))
+    hub = shared.join(met, "sid").groupBy("segment").agg(F.max(F.struct("met", "sid")).alias("hub")).select("segment", F.col("hub.sid").alias("a"))
+    return shared.join(hub, "segment").where("a <> sid").groupBy("a", F.col("sid").alias("b")).agg(F.count("*").alias("n"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those (a, b) of distinct pairs whose sets (sid, grams) are similar. A set ``a`` with many partners is sent to several tasks."""
+    pairs = stored(pairs, "pairs")
+    wanted = small(stored(pairs.select("a").union(pairs.select("b")).distinct(), "wanted").withColumnRenamed("a", "sid"))
+    sets = sets.join(wanted, "sid", "left_semi")
     parts = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.expr(f"cast(ceil(n / {MEMBERS}) as int)").alias("parts"))
     left = sets.join(parts, sets.sid == parts.a).select("a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "grams").drop("parts")
     right = pairs.join(parts, "a").join(sets, F.col("b") == sets.sid).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "grams")
@@ -296,12 +311,72 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return dealt.select("a", "part", "b", "grams").mapInArrow(run, "a long, b long")
 
 
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what a symmetric matrix of links connects, as few as possible."""
+    left, out = np.ones(len(near), bool), []
+    for start in range(len(near)):
+        if left[start]:
+            left[start] = False
+            front = near[start] & left
+            while front.any():
+                left &= ~front
+                out += [(start, i) for i in np.flatnonzero(front).tolist()]
+                front = near[front].any(0) & left
+    return out
+
+
+def block_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links that connect the similar sets of each group (node, label), found block against block.
+
+    Groups are dealt into blocks; a task compares two blocks by products of 0/1 matrices over the n-grams that they share,
+    so no pair is ever a row, and returns only links that connect something.
+    """
+    wanted = small(stored(groups.select(F.col("node").alias("sid"), "label"), "groups"))
+    blocks = groups.groupBy("label").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
+    placed = sets.join(wanted, "sid").join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = placed.select("label", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "sid", "grams").repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
+
+    def run(batches):
+        for _, rows in grouped(batches, 3):
+            sids, at = np.unique(rows.column(3).to_numpy(), return_index=True)
+            own = [np.frombuffer(rows.column(4)[int(i)].as_buffer(), U) for i in at]
+            if len(own) < 2:
+                continue
+            sizes = np.array([len(g) for g in own])
+            _, gram, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+            of, common = np.repeat(np.arange(len(own)), sizes), count > 1
+            column = np.cumsum(common) - 1
+            keep = common[gram]
+            of, gram = of[keep], column[gram[keep]]
+            order = np.argsort(gram, kind="stable")
+            of, gram = of[order], gram[order]
+            shared = np.zeros((len(own), len(own)), np.float32)
+            for start in range(0, int(common.sum()), 8192):
+                a, b = np.searchsorted(gram, (start, start + 8192))
+                part = np.zeros((len(own), 8192), np.float32)
+                part[of[a:b], gram[a:b] - start] = 1
+                shared += part @ part.T
+            near = den * shared.astype(np.int64) >= num * (sizes[:, None] + sizes - shared.astype(np.int64))
+            np.fill_diagonal(near, False)
+            if found := spanning(near):
+                yield pa.RecordBatch.from_arrays([pa.array(sids[[i for i, _ in found]]), pa.array(sids[[j for _, j in found]])], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def still_mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(segment, sid, label) of the segments whose sets are not all connected."""
+    labelled = shared.select("segment", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("segment", "sid", F.coalesce("label", "sid").alias("label"))
+    mixed = labelled.groupBy("segment").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("segment")
+    return labelled.join(mixed, "segment")
+
+
 def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFrame) -> DataFrame:
     """(sid, label) of all sets that are similar to another one; sets of one label are connected by links."""
     bands = Bands(num, den)
     shared = stored(shared_segments(segment_table(docs, words, bands)), "segments")
-    wanted = shared.select("sid").distinct().join(table.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id")), "sid").select("id", F.col("sid").alias("_sid"))
-    texts = docs.join(wanted, "id").select("_sid", "text")
+    wanted = stored(shared.select("sid").distinct().join(table.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id")), "sid").select("id", F.col("sid").alias("_sid")), "wanted")
+    texts = docs.join(small(wanted), "id").select("_sid", "text")
 
     def grams(batches):
         seen: set[int] = set()
@@ -310,8 +385,8 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFra
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keep]), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["sid", "grams"])
 
-    sets = stored(texts.mapInArrow(grams, "sid long, grams binary").dropDuplicates(["sid"]), "sets", "none")
-    stars = stored(shared.where("first <> sid").groupBy(F.col("first").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("n")), "stars")
+    sets = stored(texts.mapInArrow(grams, "sid long, grams binary"), "sets", "none")
+    stars = stored(hubs(shared), "stars")
     # first the partner with which a set shares most
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = stored(verified(best.select("a", "b"), sets, num, den), "links")
@@ -325,16 +400,21 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFra
     rest = apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
     links = stored(links.union(verified(rest, sets, num, den)), "links")
     labels = components(links)
-    # then what shares a segment and is still apart
-    labelled = shared.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("segment", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = labelled.groupBy("segment").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("first")).where("low <> high").select("segment", "first")
-    left = labelled.join(mixed, "segment").where("sid <> first").select("segment", "sid", "label")
-    left = stored(left, "open")
-    other = left.select("segment", F.col("sid").alias("b"), F.col("label").alias("lb"))
-    more = left.join(other, "segment").where("sid < b and label <> lb").select(F.col("sid").alias("a"), "b").distinct()
-    links = stored(links.union(verified(more, sets, num, den)), "links")
+    # then what shares a segment and is still apart: first within the trees that the best partners make, block against block
+    trees = components(best)
+    tree = trees.select(F.col("node").alias("sid"), F.col("label").alias("tree"))
+    open_ = stored(still_mixed(shared, labels).join(tree, "sid"), "open")
+    several = open_.groupBy("tree").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("tree")
+    groups = open_.join(several, "tree").select(F.col("sid").alias("node"), F.col("tree").alias("label")).distinct()
+    links = stored(links.union(block_links(groups, sets, num, den)), "links")
+    labels = components(links)
+    # and then, pair by pair, what two trees share
+    open_ = stored(still_mixed(shared, labels).join(tree, "sid"), "open")
+    other = open_.select("segment", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("tree").alias("tb"))
+    across = open_.join(other, "segment").where("sid < b and label <> lb and tree <> tb").select(F.col("sid").alias("a"), "b").distinct()
+    links = stored(links.union(verified(across, sets, num, den)), "links")
     labels = components(links)
-    for done in (shared, sets, stars, left):
+    for done in (shared, sets, stars, open_):
         discard(done)
     return labels.select(F.col("node").alias("sid"), "label")
 
