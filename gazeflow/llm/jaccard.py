@@ -31,6 +31,8 @@ GROWTH = 1.5
 EMPTY_COST = 3000
 #: Members of a group that one task compares with the group's first set.
 MEMBERS = 256
+#: Sets of a group that are compared with each other in one block.
+BLOCK = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -332,7 +334,7 @@ def block_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     so no pair is ever a row, and returns only links that connect something.
     """
     wanted = small(stored(groups.select(F.col("node").alias("sid"), "label"), "groups"))
-    blocks = groups.groupBy("label").agg(F.expr(f"cast(ceil(count(*) / {MEMBERS}) as int)").alias("blocks"))
+    blocks = groups.groupBy("label").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
     placed = sets.join(wanted, "sid").join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = placed.select("label", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "sid", "grams").repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
 
@@ -391,15 +393,6 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFra
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = stored(verified(best.select("a", "b"), sets, num, den), "links")
     labels = components(links)
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs that are not known to be connected."""
-        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        return pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
-
-    rest = apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
-    links = stored(links.union(verified(rest, sets, num, den)), "links")
-    labels = components(links)
     # then what shares a segment and is still apart: first within the trees that the best partners make, block against block
     trees = components(best)
     tree = trees.select(F.col("node").alias("sid"), F.col("label").alias("tree"))
@@ -412,8 +405,9 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFra
     open_ = stored(still_mixed(shared, labels).join(tree, "sid"), "open")
     other = open_.select("segment", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("tree").alias("tb"))
     across = open_.join(other, "segment").where("sid < b and label <> lb and tree <> tb").select(F.col("sid").alias("a"), "b").distinct()
-    links = stored(links.union(verified(across, sets, num, den)), "links")
-    labels = components(links)
+    more = stored(verified(across, sets, num, den), "links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
     for done in (shared, sets, stars, open_):
         discard(done)
     return labels.select(F.col("node").alias("sid"), "label")
