@@ -403,12 +403,15 @@ def similar_sets(docs: DataFrame, words: int, num: int, den: int, table: DataFra
     labels = components(links)
     # and then, pair by pair, what two trees share
     open_ = stored(still_mixed(shared, labels).join(tree, "sid"), "open")
-    other = open_.select("segment", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("tree").alias("tb"))
-    across = open_.join(other, "segment").where("sid < b and label <> lb and tree <> tb").select(F.col("sid").alias("a"), "b").distinct()
+    sizes = table.where("sid is not null").groupBy("sid").agg(F.min("n").alias("n"))
+    open_ = open_.join(sizes, "sid")
+    other = open_.select("segment", F.col("sid").alias("b"), F.col("label").alias("lb"), F.col("tree").alias("tb"), F.col("n").alias("nb"))
+    fits = f"{den} * least(n, nb) >= {num} * greatest(n, nb)"  # else even a subset is not similar
+    across = open_.join(other, "segment").where(f"sid < b and label <> lb and tree <> tb and {fits}").select(F.col("sid").alias("a"), "b").distinct()
     more = stored(verified(across, sets, num, den), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    for done in (shared, sets, stars, open_):
+    for done in (shared, sets, stars):
         discard(done)
     return labels.select(F.col("node").alias("sid"), "label")
 
