@@ -3,8 +3,8 @@
 Equal vectors of a label are one node. Nodes start with neighbours from random hyperplane buckets, a few tables of them, and
 then compare the neighbours of their neighbours, keeping the nearest, until that finds no new link. An audit compares a
 bounded sample of nodes with all others by brute force; while it misses links, more tables and rounds follow. A node whose
-list is full of links may have more, so lists are enlarged to the whole component: its nodes are compared block by block,
-which also counts the links.
+list is full of links may have more, in its component and in others: such nodes are compared block by block with those of all
+other components, which joins components, and then all nodes of a component with one another, which counts the links.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .graph import components
 
 #: Neighbours kept for a node, and rows of a block in which all pairs are compared.
 NEIGHBOURS, BLOCK = 8, 128
+#: Nodes of a block when components are compared with one another.
+SIDE = 1024
 #: Expected rows of a hyperplane bucket, tables of buckets at first, bits of a code at most.
 BUCKET, TABLES, BITS = 32, 6, 48
 #: Nodes that the audit compares with all others, at most, and rounds of tables after it.
@@ -154,6 +156,51 @@ def missed(nodes: DataFrame, links: DataFrame, dtype: str, threshold: float) ->
     return r[0], r[1]
 
 
+def across(some: DataFrame, others: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """(a, b): links between rows (id, space, label, vec) of both tables, one at least for any two labels that a pair of blocks links.
+
+    All rows of a space are compared, block against block, whatever is known of them.
+    """
+    sizes = [t.groupBy("space").agg(F.expr(f"cast(ceil(count(*) / {SIDE}) as int)").alias(x)) for t, x in ((some, "n_i"), (others, "n_j"))]
+    blocks = sizes[0].join(sizes[1], "space")
+
+    def placed(t: DataFrame, own: str, other: str, left: bool) -> DataFrame:
+        dealt = t.join(blocks, "space").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"n_{own}")).cast("int"))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select("space", "i", "j", F.lit(left).alias("left"), "id", "label", "vec")
+
+    rows = placed(some, "i", "j", True).union(placed(others, "j", "i", False))
+    if some is others:
+        rows = rows.where("i <= j")
+
+    def run(batches):
+        for _, part in grouped(batches, 3):
+            left = part.column(3).to_numpy(zero_copy_only=False)
+            ids, labels, u = part.column(4).to_numpy(), part.column(5).to_numpy(), unit(part.column(6), dtype)
+            a, b = np.nonzero(u[left] @ u[~left].T >= threshold)
+            out = labels[left][a] != labels[~left][b]
+            a, b = np.flatnonzero(left)[a[out]], np.flatnonzero(~left)[b[out]]
+            _, first = np.unique(np.stack([labels[a], labels[b]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], names=["a", "b"])
+
+    return rows.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def joined(nodes: DataFrame, links: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Components of the links, joined where nodes link whose lists are full of links: a node with room in its list has all of its links there."""
+    labels = components(links)
+    full = links.groupBy("a").agg(F.count("*").alias("held")).where(F.col("held") >= NEIGHBOURS)
+    full = stored(nodes.select("id", "space", "vec").join(full.select(F.col("a").alias("id")), "id").join(labels.withColumnRenamed("node", "id"), "id"), "full", "none")
+    several = full.groupBy("space").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    open_ = full.join(several, "space", "left_semi")
+    more = stored(across(open_, open_, dtype, threshold), "links")
+    if more.limit(1).count():
+        discard(labels)
+        labels = components(links.union(more))
+    discard(more)
+    discard(full)
+    return labels
+
+
 def link_counts(nodes: DataFrame, labels: DataFrame, dtype: str, threshold: float) -> DataFrame:
     """(id, links): copies, by their number, of other nodes of the component that are near enough, compared block by block."""
     own = nodes.join(labels.withColumnRenamed("node", "id"), "id").select("id", "label", "vec", "n")
@@ -198,7 +245,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
             graph, before, known = new, known, new.where(F.col("sim") >= threshold).count()
             if known == before:
                 break
-        labels = components(graph.where(F.col("sim") >= threshold).select("a", "b"))
+        labels = joined(nodes, graph.where(F.col("sim") >= threshold).select("a", "b"), dtype, threshold)
         if audit == AUDITS or not missed(nodes, labels, dtype, threshold)[1]:
             break
         more = bucket_neighbours(nodes, dtype, range(tables, tables + TABLES))

@@ -387,3 +387,17 @@ def test_embeddings(spark):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embeddings_links_between_tight_groups(spark):
+    """Every list of neighbours is full of links of the own group, and all groups link."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for label, size in ((0, 10), (1, 400)):
+        centre = rng.normal(size=(1, 16))
+        spread = [c + 0.08 * np.linalg.norm(centre) * d / np.linalg.norm(d) for c, d in zip([centre[0]] * 3, rng.normal(size=(3, 16)))]
+        rows += [(len(rows) + i, (spread[i % 3] + rng.normal(size=16) * 0.005).tolist(), label) for i in range(3 * size)]
+    want = brute.near_vectors(rows, 0.98)
+    assert {want[0], want[1], want[2]} == {(29, 0)} and want[30] == (1199, 30)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want and sum(r.kept for r in got.values()) == 2
