@@ -1,15 +1,17 @@
 """Near-duplicate vectors by NN-descent.
 
 Equal vectors of a label are one node. Nodes start with neighbours from random hyperplane buckets, a few tables of them, and
-then compare the neighbours of their neighbours, keeping the nearest, until that finds no new link. An audit compares a
-bounded sample of nodes with all others by brute force; while it misses links, more tables and rounds follow. A node whose
+then compare the neighbours of their neighbours, keeping the nearest, until the lists hardly change. An audit compares a
+sample of each label's nodes, with links and without, with all others of the label by brute force. Labels where links were
+missed get more tables and rounds, and in the end are compared as a whole, so no label is left with a link known to be missed.
+A node whose
 list is full of links may have more, in its component and in others: such nodes are compared block by block with those of all
 other components, which joins components, and then all nodes of a component with one another, which counts the links.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,12 @@ NEIGHBOURS, BLOCK = 8, 128
 SIDE = 1024
 #: Expected rows of a hyperplane bucket, tables of buckets at first, bits of a code at most.
 BUCKET, TABLES, BITS = 32, 6, 48
-#: Nodes that the audit compares with all others, at most, and rounds of tables after it.
-AUDITED, AUDITS = 400, 3
+#: Share of the lists' entries that a last round of descent may still change.
+CHANGED = 0.001
+#: Nodes of a label, with links and without, that an audit compares at least, and rounds of tables before the exact comparison.
+AUDITED, AUDITS = 64, 3
+
+log = logging.getLogger(__name__)
 
 
 def unit(rows: pa.Array, dtype: str) -> np.ndarray:
@@ -132,34 +138,23 @@ def descend(graph: DataFrame, nodes: DataFrame, dtype: str) -> DataFrame:
     return members.repartition("mid").sortWithinPartitions("mid").mapInArrow(run, "a long, b long, sim double")
 
 
-def missed(nodes: DataFrame, links: DataFrame, dtype: str, threshold: float) -> tuple[int, int]:
-    """Links of a bounded sample of nodes by brute force: how many there are, and how many lead out of the components found."""
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "space", "vec").collect()
-    by: dict[str, tuple[list[int], list[bytes]]] = {}
-    for i, s, v in sample:
-        by.setdefault(s, ([], []))[0].append(i)
-        by[s][1].append(bytes(v))
-
-    def run(batches):
-        queries = {s: (np.array(i), unit(pa.array(v, pa.binary()), dtype)) for s, (i, v) in by.items()}
-        for batch in batches:
-            spaces = np.array(batch.column(1).to_pylist())
-            for s, (ids, q) in queries.items():
-                if len(rows := np.flatnonzero(spaces == s)):
-                    part = batch.take(pa.array(rows))
-                    i, j = np.nonzero(q @ unit(part.column(2), dtype).T >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(part.column(0).to_numpy()[j])], names=["a", "b"])
+def audited(own: DataFrame, audit: int) -> DataFrame:
+    """A sample of the rows (id, space, label, vec, linked) by space, another one for each audit.
 
-    true = nodes.select("id", "space", "vec").mapInArrow(run, "a long, b long").where("a <> b")
-    la, lb = (links.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    r = true.join(la, "a", "left").join(lb, "b", "left").agg(F.count("*"), F.count_if(F.coalesce("la", "a") != F.coalesce("lb", "b"))).first()
-    return r[0], r[1]
+    Of nodes with links it takes as many as grow with the root of the space. Of those without, it takes enough to meet, 19
+    times in 20, one of a ninth as many nodes as have links (or as the root, if that is more): fewer leave a recall of 0.9.
+    A space that fits in one block is taken whole.
+    """
+    sizes = own.groupBy("space").agg(F.count_if("linked").alias("k"), F.count_if(~F.col("linked")).alias("u")).withColumn("root", F.ceil(F.sqrt(F.col("k") + F.col("u"))))
+    share = F.when(F.col("k") + F.col("u") <= SIDE, 1.0).when(F.col("linked"), (AUDITED + F.col("root")) / F.col("k")).otherwise(AUDITED / F.col("u") + 27 / F.greatest("k", "root"))
+    return own.join(sizes, "space").where(F.pmod(F.xxhash64("id", F.lit(audit)), F.lit(1 << 30)) < share * (1 << 30)).select(*own.columns)
 
 
 def across(some: DataFrame, others: DataFrame, dtype: str, threshold: float) -> DataFrame:
-    """(a, b): links between rows (id, space, label, vec) of both tables, one at least for any two labels that a pair of blocks links.
+    """(space, a, b, links, out): links between rows (id, space, label, vec) of both tables, one at least for any two labels that a pair of blocks links.
 
-    All rows of a space are compared, block against block, whatever is known of them.
+    All rows of a space are compared, block against block, whatever is known of them. A row without a and b for every pair of
+    blocks counts its links and those between different labels.
     """
     sizes = [t.groupBy("space").agg(F.expr(f"cast(ceil(count(*) / {SIDE}) as int)").alias(x)) for t, x in ((some, "n_i"), (others, "n_j"))]
     blocks = sizes[0].join(sizes[1], "space")
@@ -173,29 +168,30 @@ def across(some: DataFrame, others: DataFrame, dtype: str, threshold: float) ->
         rows = rows.where("i <= j")
 
     def run(batches):
-        for _, part in grouped(batches, 3):
+        for (space, i, j), part in grouped(batches, 3):
             left = part.column(3).to_numpy(zero_copy_only=False)
             ids, labels, u = part.column(4).to_numpy(), part.column(5).to_numpy(), unit(part.column(6), dtype)
             a, b = np.nonzero(u[left] @ u[~left].T >= threshold)
-            out = labels[left][a] != labels[~left][b]
+            n, out = int((ids[left][a] != ids[~left][b]).sum()), labels[left][a] != labels[~left][b]
             a, b = np.flatnonzero(left)[a[out]], np.flatnonzero(~left)[b[out]]
             _, first = np.unique(np.stack([labels[a], labels[b]]), axis=1, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a[first]]), pa.array(ids[b[first]])], names=["a", "b"])
+            found = [[None, *ids[a[first]].tolist()], [None, *ids[b[first]].tolist()], [n] + [0] * len(first), [int(out.sum())] + [0] * len(first)]
+            yield pa.RecordBatch.from_arrays([pa.array([space] * (len(first) + 1), pa.string()), *(pa.array(x, pa.int64()) for x in found)], names=["space", "a", "b", "links", "out"])
 
-    return rows.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "space string, a long, b long, links long, out long")
 
 
-def joined(nodes: DataFrame, links: DataFrame, dtype: str, threshold: float) -> DataFrame:
-    """Components of the links, joined where nodes link whose lists are full of links: a node with room in its list has all of its links there."""
-    labels = components(links)
+def joined(nodes: DataFrame, links: DataFrame, known: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Components of the links and of the pairs known besides, joined where nodes link whose lists are full of links: a node with room in its list has all of its links there."""
+    labels = components(links.union(known))
     full = links.groupBy("a").agg(F.count("*").alias("held")).where(F.col("held") >= NEIGHBOURS)
     full = stored(nodes.select("id", "space", "vec").join(full.select(F.col("a").alias("id")), "id").join(labels.withColumnRenamed("node", "id"), "id"), "full", "none")
     several = full.groupBy("space").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_ = full.join(several, "space", "left_semi")
-    more = stored(across(open_, open_, dtype, threshold), "links")
+    more = stored(across(open_, open_, dtype, threshold).where("a is not null").select("a", "b"), "links")
     if more.limit(1).count():
         discard(labels)
-        labels = components(links.union(more))
+        labels = components(links.union(known).union(more))
     discard(more)
     discard(full)
     return labels
@@ -223,6 +219,42 @@ def link_counts(nodes: DataFrame, labels: DataFrame, dtype: str, threshold: floa
     return pairs.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def searched(nodes: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Components of all links. Spaces leave the search when an audit of theirs misses no link or they were compared as a whole."""
+    work, known, graph = nodes, nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"), None
+    for audit in range(AUDITS + 1):
+        more = bucket_neighbours(work, dtype, range(audit * TABLES, (audit + 1) * TABLES))
+        graph = stored(kept(more if graph is None else graph.union(more)), "graph")
+        while True:
+            new = stored(kept(graph.union(descend(graph, work, dtype))), "graph")
+            changed, total = new.join(graph, ["a", "b"], "left_anti").count(), new.count()
+            discard(graph)
+            graph = new
+            if changed <= CHANGED * total:
+                break
+        labels = joined(work, graph.where(F.col("sim") >= threshold).select("a", "b"), known, dtype, threshold)
+        own = work.select("id", "space", "vec").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        own = stored(own.select("id", "space", F.coalesce("label", "id").alias("label"), "vec", F.col("label").isNotNull().alias("linked")), "own", "none")
+        found = stored(across(audited(own, audit), own, dtype, threshold), "audit")
+        sums = found.groupBy("space").agg(F.sum("links").alias("links"), F.sum("out").alias("out"))
+        failed = stored(sums.where("out > 0").select("space"), "failed")
+        links, out, spaces = sums.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("out"), F.lit(0)), F.count_if(F.col("out") > 0)).first()
+        log.info("audit %d: %d links of sampled nodes, recall %.4f, %d labels with missed links", audit + 1, links, 1 - out / max(links, 1), spaces)
+        if not spaces:
+            return labels
+        rest = own.join(failed, "space", "left_semi")
+        missed = (across(rest, rest, dtype, threshold) if audit == AUDITS else found).where("a is not null").select("a", "b")
+        known = stored(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(missed), "known")
+        if audit == AUDITS:
+            log.info("%d labels were compared as a whole", spaces)
+            break
+        work = stored(work.join(failed, "space", "left_semi").select(*nodes.columns), "nodes", "none")
+        graph = stored(graph.join(work.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b", "sim"), "graph")
+        for t in (labels, own, found, failed):
+            discard(t)
+    return components(known)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of equal label whose cosine is at least ``threshold``.
 
@@ -235,21 +267,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, id_col: str = "vec_i
     rows = stored(vectors(df, id_col, vector_col, label_col, dtype), "vectors", "none")
     classes = rows.where("space is not null").groupBy("space", "vec").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     nodes = stored(classes.where("id is not null"), "nodes", "none")
-    graph = stored(kept(bucket_neighbours(nodes, dtype, range(TABLES))), "graph")
-    tables, labels = TABLES, None
-    for audit in range(AUDITS + 1):
-        known = graph.where(F.col("sim") >= threshold).count()
-        for _ in range(8):
-            new = stored(kept(graph.union(descend(graph, nodes, dtype))), "graph")
-            discard(graph)
-            graph, before, known = new, known, new.where(F.col("sim") >= threshold).count()
-            if known == before:
-                break
-        labels = joined(nodes, graph.where(F.col("sim") >= threshold).select("a", "b"), dtype, threshold)
-        if audit == AUDITS or not missed(nodes, labels, dtype, threshold)[1]:
-            break
-        more = bucket_neighbours(nodes, dtype, range(tables, tables + TABLES))
-        graph, tables = stored(kept(graph.union(more)), "graph"), tables + TABLES
+    labels = searched(nodes, dtype, threshold)
     counts = link_counts(nodes, labels, dtype, threshold)
     found = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     found = found.select("space", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("label", "id").alias("component"))

@@ -401,3 +401,25 @@ def test_embeddings_links_between_tight_groups(spark):
     assert {want[0], want[1], want[2]} == {(29, 0)} and want[30] == (1199, 30)
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want and sum(r.kept for r in got.values()) == 2
+
+
+def test_embeddings_compare_labels_whole_where_audits_fail(spark, monkeypatch):
+    """Without any neighbours to start from, the links are found all the same."""
+    start = embeddings.bucket_neighbours
+    monkeypatch.setattr(embeddings, "bucket_neighbours", lambda *a: start(*a).where("false"))
+    monkeypatch.setattr(embeddings, "AUDITS", 0)
+    monkeypatch.setattr(embeddings, "SIDE", 100, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=8)).tolist(), i % 2) for i in range(1500)]
+    rows += [(1500 + i, (np.array(rows[7 * i][1]) * 1.5 + 0.01).tolist(), rows[7 * i][2]) for i in range(200)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    want = brute.near_vectors(rows, 0.98)
+    assert sum(n > 0 for n, _ in want.values()) >= 400
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
+
+
+def test_embeddings_audit_takes_nodes_of_each_label(spark):
+    own = spark.createDataFrame([(i, str(i % 3), i, b"", i < 90) for i in range(60_000)], "id long, space string, label long, vec binary, linked boolean")
+    taken = {(r.space, r.linked): r["count"] for r in embeddings.audited(own, 0).groupBy("space", "linked").count().collect()}
+    for space in "012":  # of 30 nodes with links all, of the others one in 142 / 27
+        assert taken[space, True] == 30 and 3400 < taken[space, False] < 4300
