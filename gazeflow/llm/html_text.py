@@ -24,8 +24,8 @@ RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 OUTSIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "label", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Class names, ids and roles of containers that hold something else than the main text.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w+|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|foot|gdpr|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|print-only|promo|promoted|recommend\w*|related|replies|search|share|sharing|sidebar|signup|site-header|skip|social|sponsor\w*|subscribe|subscription|teaser|toolbar|topbar|tracking|widget)(?:$|[\s_-])")
+#: Class names, ids and roles of containers that hold something else than the main text: whole names, with a few words of place or form.
+NAMED = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|user|reader)[_-])?(?:ads?|adverts?|advertis\w+|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|copyright|disqus|footer|foot|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|pagination|pager|popup|print-only|promo|promoted|recommend\w*|related|replies|share|sharing|sidebar|signup|site-header|skip|sponsor\w*|subscribe|subscription|teaser|toolbar|topbar|tracking|widget)(?:[_-](?:area|banner|bar|box|buttons?|consent|container|form|links?|list|menu|notice|posts|section|slot|unit|widget|wrapper|wrap|inner|content))?(?:$|\s)")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 #: An open element of these is ended by the next of the same kind.
 SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
@@ -43,7 +43,8 @@ LABELLED = (
 class Page:
     """A page as segments: (kind, words, text, breaks a block) for text, (kind, 1, None, breaks) for tags."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, named: bool = True):
+        self.named = named  # whether names tell boilerplate
         self.items: list[tuple[str, int, str | None, bool]] = []
         stack: list[tuple[str, bool]] = []  # name, whether it or one around it is boilerplate
         at, links, lists = 0, 0, 0
@@ -79,7 +80,7 @@ class Page:
                         pass
                     elif (close := lower.find(f"</{name}", at)) >= 0:
                         at = source.find(">", close) + 1 or n
-                    elif name not in ("title", "select", "object", "svg", "math"):
+                    elif name in ("script", "style"):  # others without an end are read as if the tag was not there
                         at = n
                     if name != "head":
                         continue
@@ -108,8 +109,7 @@ class Page:
         """Boilerplate within an article, such as an advert between its paragraphs, is of another kind than that around it."""
         return within if any(name in ("article", "main") and not out for name, out in stack) else kind
 
-    @staticmethod
-    def boilerplate(name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
+    def boilerplate(self, name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
         if name in OUTSIDE:
             return True
         if name == "header":  # a head inside an article holds its title
@@ -118,7 +118,7 @@ class Page:
             return False
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id", "role") and (NAMED.search(value) or re.fullmatch(r"(?:(?:page|site|main|global|top)[-_]?)?header", value)):
+            if self.named and key in ("class", "id", "role") and (NAMED.search(value) or re.fullmatch(r"(?:(?:page|site|main|global|top)[-_]?)?header", value)):
                 return True
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 return True
@@ -162,6 +162,9 @@ def main_text(source: str | None, weight: dict[str, float] = WEIGHTS) -> str:
     """The main text of a page: white space within a block as one space, blocks joined by one."""
     items = Page(source or "").items
     low, high = region(items, weight)
+    if low == high:  # all text stands in containers with such names
+        items = Page(source or "", False).items
+        low, high = region(items, weight)
     blocks: list[str] = []
     inline: list[str] = []
     for kind, _, text, breaks in items[low:high]:

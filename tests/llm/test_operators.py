@@ -423,3 +423,15 @@ def test_embeddings_audit_takes_nodes_of_each_label(spark):
     taken = {(r.space, r.linked): r["count"] for r in embeddings.audited(own, 0).groupBy("space", "linked").count().collect()}
     for space in "012":  # of 30 nodes with links all, of the others one in 142 / 27
         assert taken[space, True] == 30 and 3400 < taken[space, False] < 4300
+
+
+def test_html_names_of_wrappers():
+    text = "The mill stands by the stream and its wheel turns day and night."
+    for name in ("content no-sidebar", "post comments-open", "search-results", "legal", "social", "notice", "related"):
+        assert html_text.main_text(f"<body><nav><a>Home</a></nav><div class='{name}'><p>{text}</p></div></body>") == text
+    for name in ("related-work", "legal", "notice"):
+        assert html_text.main_text(f"<article><p>{text}</p><section id='{name}'><p>{text}</p></section></article>") == f"{text} {text}"
+    for name in ("ad", "site-footer", "left-sidebar", "comment-list", "cookie-notice"):
+        assert html_text.main_text(f"<div><p>{text}</p></div><div class='{name}'><p>Some other words</p></div>") == text
+    for raw in ("noscript", "template", "iframe", "canvas", "audio", "video", "textarea"):
+        assert html_text.main_text(f"<p>{text}</p><{raw}><p>{text}</p>") == f"{text} {text}"
