@@ -298,6 +298,63 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.join_components(spark.createDataFrame(*EMPTY)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_are_not_confused(spark):
+    a, b = thue_morse(2048)
+    rows = [(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z"), (5, a)]
+    got = {r.doc_id: r.component_id for r in jaccard.join_components(frame(spark, rows), 4, 85, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_groups_whose_members_are_mostly_apart(spark, monkeypatch):
+    """Variants of a few texts, some linked only by way of others, in blocks and common segments smaller than the groups."""
+    monkeypatch.setattr(jaccard, "COMMON", 32)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SIDE", 16)
+    rng = random.Random(21)
+    rows = []
+    for base in range(3):
+        words = sentence(rng, 120).split()
+        for _ in range(90):
+            w = list(words)
+            for _ in range(rng.randint(0, 9)):
+                w[rng.randrange(len(w))] = sentence(rng, 1)
+            rows.append((len(rows), " ".join(w)))
+    for num, den, n in ((85, 100, 4), (4, 5, 5)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(frame(spark, rows), n, num, den).collect()}
+        assert got == brute.jaccard(rows, n, num, den)
+
+
+def test_sketches_never_miss_a_pair():
+    rng = np.random.default_rng(3)
+    for num, den in ((85, 100), (4, 5)):
+        for n in [1, 5, 30, 33, 64, 65, 500, 513, 3000]:
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            others = [np.unique(np.concatenate([a[g:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for g, k in ((0, 0), (0, n // 6), (n // 7, 0), (n // 14, n // 14), (n // 2, n // 2))]
+            sets = [a, *others]
+            sizes = np.array([len(s) for s in sets])
+            found = jaccard.Sketches(sizes, jaccard.pa.array(jaccard.odd_sketches(sets), jaccard.pa.binary()), num, den)
+            got = {(i, j) for p, q in found.candidates(np.ones(len(sets), bool), np.ones(len(sets), bool)) for i, j in zip(p.tolist(), q.tolist())}
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    if den * both >= num * (len(x) + len(y) - both):
+                        assert (i, j) in got
+
+
+def test_first_rows_are_kept(spark):
+    t, u = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(7, t), (7, t), (7, u), (None, t), (None, "v w x y z 1 2 3"), (None, "v w x y z 1 2 3"), (3, t + " "), (9, u), (1, ""), (1, ""), (2, None), (None, None)]
+    kept = jaccard.keep_first(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(3, t), (7, u), (None, "v w x y z 1 2 3"), (1, ""), (1, ""), (2, ""), (None, "")], key=str)
+    assert jaccard.keep_first(spark.createDataFrame(*EMPTY)).count() == 0
+
+
 def test_segments_never_miss_a_pair():
     rng = np.random.default_rng(6)
     bands = jaccard.Bands(85, 100)
