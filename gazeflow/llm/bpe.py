@@ -1,4 +1,4 @@
-"""Byte-level BPE by replaying the merges over a whole batch of words at once.
+"""Byte-level BPE by replaying the merges over all distinct words of a slice of the corpus at once.
 
 An inverted index maps each token pair to the places where it stands. Merges are applied in rank order: all places of
 the lowest pair at a time, and only the pairs with the touched neighbours are looked up and indexed anew.
@@ -10,6 +10,7 @@ import base64
 import hashlib
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,19 @@ from .arrow import map_rows
 PIECE = re.compile(r"\s*\S+|\s+")
 #: ``re`` takes these for white space, the word pattern does not.
 ODD = re.compile("[\x1c-\x1f]")
-#: Distinct pieces and words kept per worker; beyond it they are encoded anew.
-CACHE = 300_000
+#: Distinct pieces in a generation of a worker's memory, and pieces that one replay takes.
+CACHE, REPLAYED = 400_000, 300_000
+
+
+def ordered(parts: list[np.ndarray]) -> np.ndarray:
+    """The distinct values of some arrays in ascending order."""
+    x = np.concatenate(parts)
+    x.sort()
+    if len(x) < 2:
+        return x
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 class MergeTable:
@@ -83,13 +95,13 @@ class MergeTable:
         while waiting:
             t = heapq.heappop(waiting)
             found = index.pop(t)
-            places = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            places = found[0] if len(found) == 1 else ordered(found)
             places = places[into[places] == t]  # others have changed since
             if not len(places):
                 continue
             if len(places) > 1:  # of overlapping places the first wins
                 after = nxt[places]
-                clash = np.flatnonzero(after[:-1] == places[1:]) if len(found) > 1 else np.flatnonzero(np.isin(after, places))
+                clash = np.flatnonzero(places[np.minimum(np.searchsorted(places, after), len(places) - 1)] == after)
                 if len(clash):
                     taken, keep = set(), []
                     for p, q in zip(places.tolist(), after.tolist(), strict=True):
@@ -107,7 +119,7 @@ class MergeTable:
             into[places] = -1
             right, before = places[has], prv[places]
             before = before[before >= 0]
-            touched = np.unique(np.concatenate([right, before])) if len(before) else right
+            touched = ordered([right, before])
             if len(touched):
                 into[touched] = self.merged(sym[touched], sym[nxt[touched]])
                 add(touched)
@@ -121,31 +133,51 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.table = MergeTable(path)
+        self.names = list(map(str, range(self.table.size)))
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple] = {}
+        self.pieces: dict[str, tuple[int, str, str]] = {}
+        self.before: dict[str, tuple[int, str, str]] = {}
 
     def prepare(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known yet, all their words in one replay."""
-        if len(self.pieces) + len(self.words) > 2 * CACHE:
-            self.pieces.clear()
-            self.words.clear()
-        new = [p for p in pieces if p not in self.pieces]
-        split = [self.pattern.findall(p) for p in new]
-        words = [w for w in {w for s in split for w in s} if w not in self.words]
-        for at in range(0, len(words), 200_000):
-            some = words[at : at + 200_000]
-            self.words.update(zip(some, map(tuple, self.table.replay([w.encode() for w in some])), strict=True))
-        token = self.table.bytes
+        """Encode the pieces that are not known yet, all their words in one replay.
+
+        What is known is kept in two generations: once the younger is full it becomes the older, and what is met again moves
+        over, so that frequent pieces stay.
+        """
+        known, before = self.pieces, self.before
+        new = []
+        for p in pieces.difference(known):
+            if (old := before.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = old
+        for at in range(0, len(new), REPLAYED):
+            self.encode_pieces(new[at : at + REPLAYED])
+
+    def encode_pieces(self, new: list[str]) -> None:
+        words: dict[str, int] = {}
+        split = []
+        for p in new:
+            # a space, if any, and letters are one word
+            one = p.isascii() and (p.isalpha() or p[0] == " " and p[1:].isalpha())
+            split.append([words.setdefault(w, len(words)) for w in ((p,) if one else self.pattern.findall(p))])
+        ids = self.table.replay([w.encode() for w in words])
+        names, token = self.names, self.table.bytes
         for p, s in zip(new, split, strict=True):
-            ids = [i for w in s for i in self.words[w]]
-            self.pieces[p] = (len(ids), ",".join(map(str, ids)), b"".join([token[i] for i in ids]), ids)
+            own = ids[s[0]] if len(s) == 1 else [i for w in s for i in ids[w]]
+            back = b"".join([token[i] for i in own]).decode()
+            self.pieces[p] = (len(own), ",".join([names[i] for i in own]), p if back == p else back)
 
-    def encode(self, texts: list[str]) -> list[list[tuple]]:
-        """Of each text its pieces in turn: number of ids, ids joined by commas, the bytes that the ids decode to, ids."""
-        split = [PIECE.findall(t) if not ODD.search(t) else [t] for t in texts]
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of its ids, the ids joined by commas and the text that they decode to."""
+        split = [PIECE.findall(t) if not ODD.search(t) else [t] if t else [] for t in texts]
         self.prepare({p for s in split for p in s})
-        return [list(map(self.pieces.__getitem__, s)) for s in split]
+        known = self.pieces
+        for s in split:
+            counts, ids, back = zip(*map(known.__getitem__, s), strict=True) if s else ((), (), ())
+            yield sum(counts), ",".join(ids), "".join(back)
+        if len(known) > CACHE:
+            self.before, self.pieces = known, {}
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -171,13 +203,12 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
 
         def run(part: pa.RecordBatch) -> list:
             n, ids, decoded, lists = [], [], [], []
-            for pieces in e.encode([t or "" for t in part.column(1).to_pylist()]):
-                counts, strings, raw, own = zip(*pieces, strict=True) if pieces else ((), (), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(",".join(strings).encode()).hexdigest())
-                raw = b"".join(raw)
+            for count, joined, back in e.encode([t or "" for t in part.column(1).to_pylist()]):
+                raw = back.encode()
+                n.append(count)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append((hashlib.sha256(raw).hexdigest(), raw if keep else None))
-                lists.append([i for x in own for i in x] if keep else None)
+                lists.append((list(map(int, joined.split(","))) if joined else []) if keep else None)
             return [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array([d[0] for d in decoded]), pa.array(lists, pa.list_(pa.int32())), pa.array([d[1] for d in decoded], pa.binary())]
 
         return run
