@@ -25,7 +25,7 @@ PIECE = re.compile(r"\s*\S+|\s+")
 #: ``re`` takes these for white space, the word pattern does not.
 ODD = re.compile("[\x1c-\x1f]")
 #: Distinct pieces in a generation of a worker's memory, and pieces that one replay takes.
-CACHE, REPLAYED = 400_000, 300_000
+CACHE, REPLAYED = 250_000, 300_000
 
 
 def ordered(parts: list[np.ndarray]) -> np.ndarray:

@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*|[^>]*)>""", re.S)
+#: Where a comment, a declaration or a tag may begin.
+START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+#: A tag after its "<": a slash, the name, attributes whose quoted values may hold ">".
+TAG = re.compile(r"""(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""")
+#: Characters within which a quoted value has to end; beyond it a quote is an ordinary character of a tag that ends at the next ">".
+QUOTED = 4096
 #: Elements whose content is no text.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "head", "select", "audio", "video", "xmp"}
 #: Elements that never hold the main text.
@@ -30,6 +35,8 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?
 #: An open element of these is ended by the next of the same kind.
 SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
+BORDER = {"ul", "ol", "dl", "table", "tbody", "div", "td", "th", "blockquote", "section", "article", "form", "nav", "aside", "footer", "main", "header", "body"}
+
 #: Labelled pages, fixed values: the page with its main text between the marks [[ and ]].
 LABELLED = (
     "<html><head><title>A day</title><script>x()</script></head><body><nav><ul><li><a href=1>Home</a><li><a href=2>News pages</a></ul></nav><div class=ad>Buy one get one</div><article>[[<h1>A day at the sea</h1><p>The water was cold and the wind came up early in the morning.</p><p>We walked for an hour along the <a href=3>old wall</a> and back.</p>]]</article><footer>All rights reserved 2020</footer></body></html>",
@@ -40,80 +47,119 @@ LABELLED = (
 )
 
 
+class Source:
+    """Finds the tags of a page; every search looks ahead a bounded way, or remembers that there is nothing ahead."""
+
+    def __init__(self, text: str):
+        self.text, self.last = text, text.rfind(">")
+        self.ends: dict[str, re.Pattern] = {}
+        self.missing: set[str] = set()
+
+    def next_tag(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end of the next markup from ``at`` on, and of a tag its slash, name and attributes (else no name)."""
+        text = self.text
+        while (m := START.search(text, at)) is not None:
+            start, kind = m.start(), m[0]
+            if kind == "<!--":
+                end = text.find("-->", start + 4)
+                return start, len(text) if end < 0 else end + 3, "", "", ""
+            if kind == "<![CDATA[" and "]]>" not in self.missing:
+                end = text.find("]]>", start)
+                if end >= 0:
+                    return start, end + 3, "", "", ""
+                self.missing.add("]]>")
+            if self.last < start:
+                return None  # nothing ends any more: the rest is text
+            end = text.find(">", start)
+            if kind[1] in "!?":
+                return start, end + 1, "", "", ""
+            if '"' in (own := text[start + 1 : end + 1]) or "'" in own:
+                tag = TAG.match(text, start + 1, max(end + 1, start + QUOTED)) or TAG.match(own.replace('"', " ").replace("'", " "))
+                return start, tag.end() if tag.string is text else end + 1, tag[1], tag[2].lower(), tag[3]
+            tag = TAG.match(own)
+            return start, end + 1, tag[1], tag[2].lower(), tag[3]
+        return None
+
+    def element_end(self, name: str, at: int) -> int:
+        """Where the next end tag of an element without markup inside begins, -1 if there is none."""
+        if name in self.missing:
+            return -1
+        if name not in self.ends:
+            self.ends[name] = re.compile(f"</{name}(?![a-z0-9])", re.I | re.A)
+        m = self.ends[name].search(self.text, at)
+        if m is None:
+            self.missing.add(name)
+            return -1
+        return m.start()
+
+
 class Page:
     """A page as segments: (kind, words, text, breaks a block) for text, (kind, 1, None, breaks) for tags."""
 
     def __init__(self, source: str, named: bool = True):
         self.named = named  # whether names tell boilerplate
         self.items: list[tuple[str, int, str | None, bool]] = []
-        stack: list[tuple[str, bool]] = []  # name, whether it or one around it is boilerplate
-        at, links, lists = 0, 0, 0
-        n, lower = len(source), None
-        items = self.items
+        # of open elements: name, whether it or one around it is boilerplate, whether it stands in an article, and in one or a section
+        stack: list[tuple[str, bool, bool, bool]] = []
+        open_: dict[str, int] = {}
+        at, n, items, pages = 0, len(source), self.items, Source(source)
+
+        def close(i: int) -> None:
+            for gone in stack[i:]:
+                open_[gone[0]] -= 1
+            del stack[i:]
+
         while at < n:
-            m = TOKEN.search(source, at)
-            end = m.start() if m else n
+            tag = pages.next_tag(at)
+            end = tag[0] if tag else n
+            outside, within = stack[-1][1:3] if stack else (False, False)
             if end > at:
                 text = html.unescape(source[at:end])
-                words = len(text.split())
-                outside = bool(stack) and stack[-1][1]
-                items.append((self.outer(stack, "boiler", "inner") if outside else ("list" if lists else "link") if links else "text", words, text, False))
-            if not m:
+                kind = ("inner" if within else "boiler") if outside else "list" if open_.get("ul") or open_.get("ol") else "link" if open_.get("a") else "text"
+                items.append((kind, len(text.split()), text, False))
+            if not tag:
                 break
-            at = m.end()
-            name = m[2]
-            if name is None:
+            _, at, slash, name, attributes = tag
+            if not name:
                 continue
-            name = name.lower()
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        for gone, _ in stack[i:]:
-                            links -= gone == "a"
-                            lists -= gone in ("ul", "ol")
-                        del stack[i:]
-                        break
+            if slash:
+                if open_.get(name):
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             else:
-                if name in RAW and not m[3].endswith("/"):
-                    lower = lower or source.lower()
-                    if name == "head":  # its end may be left out
-                        pass
-                    elif (close := lower.find(f"</{name}", at)) >= 0:
-                        at = source.find(">", close) + 1 or n
+                empty = attributes.endswith("/")
+                if name in RAW and name != "head" and not empty:  # the end of a head may be left out
+                    if (end := pages.element_end(name, at)) >= 0:
+                        at = source.find(">", end) + 1 or n
                     elif name in ("script", "style"):  # others without an end are read as if the tag was not there
                         at = n
-                    if name != "head":
-                        continue
-                if name in SELF_ENDING:
+                    continue
+                if name in SELF_ENDING and open_.get(name):
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == name:
-                            del stack[i:]
+                            close(i)
                             break
-                        if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "div", "td", "th", "blockquote", "section", "article", "form", "nav", "aside", "footer", "main", "header", "body"):
+                        if stack[i][0] in BORDER:
                             break
-                if name not in VOID and not m[3].endswith("/"):
-                    outside = bool(stack) and stack[-1][1] or self.boilerplate(name, m[3], stack)
-                    if name == "a" and any(s[0] == "a" for s in stack[-3:]):
-                        i = max(i for i, s in enumerate(stack) if s[0] == "a")
-                        links -= 1
+                if name not in VOID and not empty:
+                    if name == "a" and any(e[0] == "a" for e in stack[-3:]):
+                        i = max(i for i, e in enumerate(stack[-3:]) if e[0] == "a") + max(0, len(stack) - 3)
+                        open_["a"] -= 1
                         del stack[i]
-                    stack.append((name, outside))
-                    links += name == "a"
-                    lists += name in ("ul", "ol")
-            outside = bool(stack) and stack[-1][1]
+                    outside, within, section = stack[-1][1:] if stack else (False, False, False)
+                    own = self.boilerplate(name, attributes, within, section)
+                    body = name in ("article", "main") and not (outside or own)
+                    stack.append((name, outside or own, within or body, section or body or name == "section"))
+                    open_[name] = open_.get(name, 0) + 1
+            outside, within = stack[-1][1:3] if stack else (False, False)
             block = name not in INLINE
-            items.append((self.outer(stack, "boilertag", "innertag") if outside else "block" if block else "inline", 1, None, block))
-
-    @staticmethod
-    def outer(stack: list[tuple[str, bool]], kind: str, within: str) -> str:
-        """Boilerplate within an article, such as an advert between its paragraphs, is of another kind than that around it."""
-        return within if any(name in ("article", "main") and not out for name, out in stack) else kind
+            # boilerplate within an article, such as an advert between its paragraphs, is of another kind than that around it
+            items.append((("innertag" if within else "boilertag") if outside else "block" if block else "inline", 1, None, block))
 
-    def boilerplate(self, name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
+    def boilerplate(self, name: str, attributes: str, within: bool, section: bool) -> bool:
         if name in OUTSIDE:
-            return True
+            return not (within and name == "label")
         if name == "header":  # a head inside an article holds its title
-            return not any(s[0] in ("article", "main", "section") for s in stack)
+            return not section
         if not attributes or name in ("body", "html", "main", "article"):
             return False
         for key, value in ATTRIBUTE.findall(attributes):

@@ -34,7 +34,7 @@ EMPTY_COST = 3000
 #: Members of a group that one task compares with the group's first set.
 MEMBERS = 256
 #: Sets of a group that are compared with each other in one block, by n-grams and by sketches.
-BLOCK, SIDE = 1024, 2048
+BLOCK, SIDE = 1024, 1024
 #: Bytes of text whose shingles are hashed at once; working memory is about a hundred times that.
 SLICE = 1 << 20
 #: Sets that a task remembers, so that copies don't put their segments into the index again.
@@ -262,9 +262,11 @@ class Sketches:
                     continue  # one has more than den / num times as many elements
                 w, in_a, in_b = min(a, b), left[at_a], right[at_b]
                 i, j = at_a[in_a], at_b[in_b]
+                if not len(i) or not len(j):
+                    continue
                 x, y = folded(rows_a[in_a], w), folded(rows_b[in_b], w)
                 step = max(1, (2 << 20) // max(1, len(j) * w))
-                for k in range(0, len(i) if len(j) else 0, step):
+                for k in range(0, len(i), step):
                     apart = np.bitwise_count(x[k : k + step, None, :] ^ y[None]).sum(2, dtype=np.int64)
                     p, q = np.nonzero(self.fits(i[k : k + step, None], j[None], apart))
                     if len(p):

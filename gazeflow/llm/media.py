@@ -39,10 +39,14 @@ def from_netpbm(data: bytes) -> np.ndarray:
         found.append(int(m[1]))
         at = m.end()
     w, h, most = [*found, 1][:3]
+    if not (0 < w < 1 << 31 and 0 < h < 1 << 31 and 0 < most < 65536):
+        raise ValueError("impossible size or depth")
     depth = 3 if k in (3, 6) else 1
     if k in (1, 2, 3):
         body = re.sub(rb"#[^\n]*", b"", data[at:])
-        flat = np.frombuffer(b"".join(body.split()), np.uint8) - 48 if k == 1 else np.array(body.split(), np.int64)
+        flat = np.frombuffer(b"".join(body.split()), np.uint8)[: h * w] - 48 if k == 1 else np.array(body.split(), np.int64)[: h * w * depth]
+        if len(flat) < h * w * depth or flat.min() < 0 or flat.max() > most:
+            raise ValueError("samples are missing or out of range")
     else:
         body = data[at + 1 :]
         if k == 4:
@@ -74,6 +78,8 @@ def from_bmp(data: bytes) -> np.ndarray:
     bits, packed = struct.unpack_from("<HI", data, 28)
     if packed or bits not in (8, 24, 32):
         raise ValueError("this kind of BMP is not read")
+    if w <= 0 or h == 0:
+        raise ValueError("impossible size")
     n = bits // 8
     rows = np.frombuffer(data, np.uint8, abs(h) * ((w * n + 3) // 4 * 4), start).reshape(abs(h), -1)[:, : w * n]
     rows = rows[::-1] if h > 0 else rows
@@ -114,8 +120,11 @@ def from_npy(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """A Netpbm, BMP or NPY image as an array."""
-    return from_bmp(data) if data[:2] == b"BM" else from_npy(data) if data[:6] == b"\x93NUMPY" else from_netpbm(data)
+    """A Netpbm, BMP or NPY image as an array of rows and columns of numbers, perhaps of three samples each."""
+    image = from_bmp(data) if data[:2] == b"BM" else from_npy(data) if data[:6] == b"\x93NUMPY" else from_netpbm(data)
+    if image.dtype.kind not in "uif" or image.ndim not in (2, 3) or image.ndim == 3 and image.shape[2] != 3 or 0 in image.shape:
+        raise ValueError("not an image")
+    return image
 
 
 def difference_hash(tile: np.ndarray) -> str:
@@ -134,7 +143,8 @@ def features(image: np.ndarray) -> tuple[bytes, str]:
 def image_features(images: DataFrame, id_col: str, data_col: str) -> DataFrame:
     """Decode stored images: id, height, width, tile (NPY), dhash, error.
 
-    Null, empty or unreadable data give null features and say why in ``error``; other columns are not read.
+    Null, empty or unreadable data, impossible sizes and missing samples among them, give null features and say why in
+    ``error``. Null and repeated ids stay as they are, a row each; no rows give no rows, and other columns are not read.
     """
 
     def make():
@@ -142,7 +152,7 @@ def image_features(images: DataFrame, id_col: str, data_col: str) -> DataFrame:
             try:
                 image = decode(data or b"")
                 return (*image.shape[:2], *features(image), None)
-            except (ValueError, struct.error, EOFError) as e:
+            except (ValueError, OverflowError, MemoryError, struct.error, EOFError) as e:
                 return None, None, None, None, str(e)[:200]
 
         def run(part: pa.RecordBatch) -> list:
@@ -159,7 +169,8 @@ def store_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns id, n_bytes (unpadded), payload_bytes, payload_sha256 and tail_crc32 (of the bytes read back), media_bytes and
     media_sha256 (of the stored image), feature (difference hash of its tile), media and tile (null unless ``keep``). A
-    null or empty text is one row of zeros. Equal texts give equal values; other columns are not read.
+    null or empty text is one row of zeros. Equal texts give equal values. Null and repeated ids stay as they are, a row each; no
+    rows give no rows, and other columns are not read.
     """
     schema = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, tile binary"
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())

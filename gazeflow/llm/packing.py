@@ -22,8 +22,8 @@ from .arrow import map_rows, slices
 from .tokens import WORD, PrefixCounter
 
 ODD = re.compile("[\x1c-\x1f]")
-#: Distinct chunks whose ids a worker keeps.
-CACHE = 1_000_000
+#: Distinct chunks in a generation of those whose ids a worker keeps, and bytes of text that are encoded at once.
+CACHE, SLICE = 300_000, 2 << 20
 
 
 class ChunkEncoder:
@@ -40,6 +40,7 @@ class ChunkEncoder:
         self.merger.normalizer = None
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
@@ -66,10 +67,16 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not ODD.search(t) else [p for p in regex.split(r"\p{White_Space}+", t) if p] for t in texts]
-        if len(self.known) > CACHE:
-            self.known, self.words = {}, {}
-        known = self.known
-        if new := list({c for s in split for c in s if c not in known}):
+        if len(self.known) > CACHE:  # what is met again moves from the older generation to the younger, so frequent chunks stay
+            self.before, self.known, self.words = self.known, {}, {}
+        known, before = self.known, self.before
+        new = []
+        for c in {c for s in split for c in s if c not in known}:
+            if (old := before.get(c)) is None:
+                new.append(c)
+            else:
+                known[c] = old
+        if new:
             self.learn(new)
         return [b"".join(map(known.__getitem__, s)) for s in split]
 
@@ -149,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
         e, task, end, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), {}
         step = capacity * 4
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), e.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += end

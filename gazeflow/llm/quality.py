@@ -1,12 +1,11 @@
 """Quality classifier: supervised subword embeddings trained by stochastic gradient descent in numpy.
 
-Words and their character n-grams are hashed to learned vectors; a document is the mean of its vectors, followed by a
-softmax of two classes. Once trained, a word's share of the score is a number that does not depend on the document.
+Words, pairs of adjacent words and the character n-grams of words are hashed to learned vectors; a document is the mean of
+its vectors, followed by a softmax of two classes. Once trained, a word's share of the score is a number that does not depend on the document.
 """
 
 from __future__ import annotations
 
-from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -16,52 +15,58 @@ from pyspark.sql import functions as F
 
 from .arrow import map_rows, slices
 
-BUCKETS, WIDTH, GRAM = 1 << 15, 8, 3
+BUCKETS, PAIRS, WIDTH, GRAM = 1 << 15, 1 << 16, 8, 3
 #: Labelled rows that a model is fitted on, at most.
 TRAINING_ROWS = 4000
 EPOCHS, RATE = 4, 0.5
-#: Share of a document's features that its repeated word pairs have when every word repeats.
-REPEAT_SHARE = 0.5
 CACHE = 600_000
 
 
 def features_of(word: str) -> list[int]:
-    """Hash buckets of a word and of its character n-grams; digits count alike."""
+    """Hash of a word, its bucket and those of its character n-grams; digits count alike."""
     if not word.isalpha():
         word = "".join("0" if c.isdigit() else c for c in word)
     raw = f"<{word}>".encode()
-    return [crc32(raw) % BUCKETS, *[crc32(raw[i : i + GRAM]) % BUCKETS for i in range(len(raw) - GRAM + 1)]]
+    own = crc32(raw)
+    return [own, own % BUCKETS, *[crc32(raw[i : i + GRAM]) % BUCKETS for i in range(len(raw) - GRAM + 1)]]
 
 
-def repeats(words: list[str]) -> int:
-    """Word pairs of two equal words. All such pairs share one n-gram bucket, so that repetition is learned for unseen words too."""
-    return sum(map(eq, words, words[1:]))
+def pair_buckets(words: np.ndarray) -> np.ndarray:
+    """Hash buckets of the pairs of adjacent words, from the words' own hashes.
+
+    A pair's hash is that of its words' exclusive or, so all pairs of equal words share a bucket and what is learned of a
+    repeated word holds for words never seen.
+    """
+    x = words[:-1] ^ words[1:]
+    return BUCKETS + (x ^ x >> 16) % PAIRS
 
 
 def document(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and the share of each; the last bucket stands for a repeated word."""
+    """Buckets of a text's words, character n-grams and word pairs, and the share of each."""
     ids: list[int] = []
-    words = text.split()
-    for w in words:
+    own: list[int] = []
+    for w in text.split():
         f = known.get(w)
         if f is None:
             f = known[w] = features_of(w)
-        ids += f
-    counts = np.bincount(np.array(ids, np.int64), minlength=BUCKETS + 1)
-    buckets = np.flatnonzero(counts[:BUCKETS])
-    return np.append(buckets, BUCKETS), np.append(counts[buckets] / max(1, len(ids)), REPEAT_SHARE * repeats(words) / max(1, len(words)))
+        own.append(f[0])
+        ids += f[1:]
+    all_ = np.concatenate([np.array(ids, np.int64), pair_buckets(np.array(own, np.int64))]) if ids else np.zeros(0, np.int64)
+    buckets, counts = np.unique_counts(all_)
+    return buckets, counts / max(1, len(all_))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
     """Score weight of each bucket and the bias, for label 1 against label 0."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + 1, WIDTH))
+    vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS + PAIRS, WIDTH))
+    vectors[BUCKETS:] = 0  # most pairs are never seen in training and then say nothing
     out, bias = np.zeros((2, WIDTH)), np.zeros(2)
     known: dict[str, list[int]] = {}
     docs = [document(t, known) for t in texts]
     y = np.array(labels, int)
     if len(set(labels)) < 2:
-        return np.zeros(BUCKETS + 1), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        return np.zeros(BUCKETS + PAIRS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     bias[:] = np.log(np.bincount(y, minlength=2) / len(y))
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
@@ -104,31 +109,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
     got = sample.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
-    return (np.frombuffer(got[0][0], "<f4").astype(float), got[0][1]) if got else (np.zeros(BUCKETS + 1), 0.0)
+    return (np.frombuffer(got[0][0], "<f4").astype(float), got[0][1]) if got else (np.zeros(BUCKETS + PAIRS), 0.0)
 
 
 class Scorer:
     """Scores texts; each distinct word's share is computed once."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+        self.weights, self.bias = np.asarray(weights, float), bias
+        self.list = self.weights.tolist()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums, self.counts, self.hashes = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Number the new words and keep the sum of their buckets' weights, how many these are, and the word's hash."""
+        if len(self.known) > CACHE:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        while len(self.sums) < len(self.known) + len(new):
+            self.sums, self.counts, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sums, self.counts, self.hashes))
+        weights = self.list
+        for w in new:
+            k = self.known[w] = len(self.known)
+            own, *ids = features_of(w)
+            self.sums[k], self.counts[k], self.hashes[k] = sum([weights[i] for i in ids]), len(ids), own
 
     def __call__(self, text: str) -> float:
-        words, known = text.split(), self.known
-        shares = list(map(known.get, words))
-        if None in shares:
-            if len(known) > CACHE:
-                known.clear()
-            w = self.weights
-            for i, s in enumerate(shares):
-                if s is None:
-                    if (s := known.get(words[i])) is None:
-                        ids = features_of(words[i])
-                        s = known[words[i]] = complex(sum([w[k] for k in ids]), len(ids))  # the imaginary part counts features
-                    shares[i] = s
-        total = sum(shares)
-        z = (total.real / total.imag + REPEAT_SHARE * self.weights[-1] * repeats(words) / len(words) if words else 0.0) + self.bias
-        return 1 / (1 + float(np.exp(-np.clip(z, -50, 50))))
+        words = text.split()
+        if not words:
+            return self.squashed(0.0)
+        try:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            self.learn(set(words))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        pairs = self.weights[pair_buckets(self.hashes[at])]
+        return self.squashed(float(self.sums[at].sum() + pairs.sum()) / (int(self.counts[at].sum()) + len(pairs)))
+
+    def squashed(self, mean: float) -> float:
+        return 1 / (1 + float(np.exp(-np.clip(mean + self.bias, -50, 50))))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -141,7 +163,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     packed = weights.astype("<f4").tobytes()
 
     def make():
-        s = Scorer(np.frombuffer(packed, "<f4").tolist(), bias)
+        s = Scorer(np.frombuffer(packed, "<f4"), bias)
 
         def run(part: pa.RecordBatch) -> list:
             scores = np.array([s(t or "") for t in part.column(2).to_pylist()])
@@ -159,7 +181,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
     packed, at = weights.astype("<f4").tobytes(), docs.columns.index(text_col)
 
     def run(batches):
-        s = Scorer(np.frombuffer(packed, "<f4").tolist(), bias)
+        s = Scorer(np.frombuffer(packed, "<f4"), bias)
         for batch in batches:
             for part in slices(batch, at):
                 yield part.filter(pa.array([s(t or "") >= threshold for t in part.column(at).to_pylist()], pa.bool_()))

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -337,6 +338,8 @@ def test_sketches_never_miss_a_pair():
             sets = [a, *others]
             sizes = np.array([len(s) for s in sets])
             found = jaccard.Sketches(sizes, jaccard.pa.array(jaccard.odd_sketches(sets), jaccard.pa.binary()), num, den)
+            some = np.arange(len(sets)) == 4  # masks may leave out all sketches of a width
+            assert all(p.tolist() == q.tolist() == [4] for p, q in found.candidates(some, some))
             got = {(i, j) for p, q in found.candidates(np.ones(len(sets), bool), np.ones(len(sets), bool)) for i, j in zip(p.tolist(), q.tolist())}
             for i, x in enumerate(sets):
                 for j, y in enumerate(sets):
@@ -492,3 +495,62 @@ def test_html_names_of_wrappers():
         assert html_text.main_text(f"<div><p>{text}</p></div><div class='{name}'><p>Some other words</p></div>") == text
     for raw in ("noscript", "template", "iframe", "canvas", "audio", "video", "textarea"):
         assert html_text.main_text(f"<p>{text}</p><{raw}><p>{text}</p>") == f"{text} {text}"
+
+
+def test_html_takes_time_in_proportion():
+    """Broken pages of a megabyte: nothing is searched twice to the end."""
+    began = time.process_time()
+    for junk in ("<a ", "<![CDATA[", '<a title="', "<a title='x>", "<script", "</b>", "<b><i>", "<noscript>", "<nav><b>", "< ", "<!x", "<p><b>", "<a>"):
+        html_text.main_text(junk * (300_000 // len(junk)) + "<p>end of page")
+    assert time.process_time() - began < 60
+    text = "The mill stands by the stream and its wheel turns day and night."
+    assert html_text.main_text(f"<p>{'İ' * 40}</p><script>x</SCRIPT><p>{text}</p>") == f"{'İ' * 40} {text}"
+    assert html_text.main_text(f'<p title="a > b">{text}</p><p title="a>{text}</p>') == f"{text} {text}"
+    assert html_text.main_text(f"<article><p>{text}</p><label>{text}</label></article>") == f"{text} {text}"
+
+
+def test_long_words():
+    from tokenizers import Tokenizer
+
+    library, c = Tokenizer.from_file(WORD_BPE), tokens.counter(WORD_BPE)
+    rng = random.Random(1)
+    for w in ("a" * 300, "".join(rng.choice("abcdefghij") for _ in range(20_000)), "日本語" * 300, "-" * 100, "x-" * 100, "aGVsbG8" * 60):
+        assert sum(c.ends(w)) == len(library.encode(w, add_special_tokens=False).ids)
+        counts = tokens.counts_of(c.deltas(w[:300]))
+        for k in (1, 7, 49, 150, 300):
+            if k <= len(w):
+                assert counts[k - 1] == len(library.encode(w[:k], add_special_tokens=False).ids)
+    assert len(c.states) < 10_000
+
+
+def test_broken_images(spark):
+    bad = [b"P5 99999999999 99999999999 255\n", b"P2 1 1 255 99999999999999999999", b"P5 0 3 255\n", b"P1 2 1 ab", b"P2 2 2 255 1 2 3", b"BM" + bytes(60), b"P6 3 3 255\nxx"]
+    images = spark.createDataFrame([(i, d) for i, d in enumerate(bad)] + [(None, b"P5 1 1 255\nA"), (7, b"P5 1 1 255\nA"), (7, b"P5 1 1 255\nB")], "doc_id long, data binary").selectExpr("*", "1 as tile", "2 as error")
+    got = media.image_features(images, "doc_id", "data").collect()
+    assert all(r.error and r.dhash is None for r in got[: len(bad)]) and all(r.error is None and (r.height, r.width) == (1, 1) for r in got[len(bad) :])
+    assert media.image_features(images.where("false"), "doc_id", "data").count() == 0 and media.store_payloads(spark.createDataFrame(*EMPTY)).count() == 0
+    same = media.store_payloads(spark.createDataFrame([(None, "x"), (4, "x"), (4, "y")], EMPTY[1])).drop("doc_id").collect()
+    assert same[0] == same[1] != same[2]
+
+
+def test_difference_hash_against_plain_loops():
+    rng = random.Random(12)
+    for h in (1, 3, 40):
+        image = [[rng.randrange(256) for _ in range(64)] for _ in range(h)]
+
+        def mean(y, x):  # of the source area under a target pixel, by exact fractions
+            from fractions import Fraction as Q
+
+            total = Q(0)
+            for i in range(h):
+                rows = max(Q(0), min(Q(i + 1), Q(h * (y + 1), 8)) - max(Q(i), Q(h * y, 8)))
+                for j in range(64) if rows else ():
+                    total += rows * max(Q(0), min(Q(j + 1), Q(64 * (x + 1), 9)) - max(Q(j), Q(64 * x, 9))) * image[i][j]
+            return total / (Q(h, 8) * Q(64, 9))
+
+        tile = [[round(float(mean(y, x)), 3) for x in range(9)] for y in range(8)]
+        data, dhash = media.features(np.array(image, np.uint8))
+        assert np.allclose(media.from_npy(data), tile, atol=2e-3)
+        bits = "".join(str(int(b > a)) for row in tile for a, b in zip(row, row[1:]))
+        differing = bin(int(bits, 2) ^ int(dhash, 16)).count("1")
+        assert differing == 0 or min(abs(b - a) for row in tile for a, b in zip(row, row[1:])) < 2e-3
