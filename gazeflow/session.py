@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if getattr(sc, "_gazeflow_dir", None) is None:
         sc._gazeflow_dir = "file://" + tempfile.mkdtemp(prefix="spark-gazeflow-")
         sc.setCheckpointDir(sc._gazeflow_dir)
