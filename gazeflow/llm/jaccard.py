@@ -36,7 +36,7 @@ MEMBERS = 256
 #: Sets of a group that are compared with each other in one block, by n-grams and by sketches.
 BLOCK, SIDE = 1024, 1024
 #: Bytes of text whose shingles are hashed at once; working memory is about a hundred times that.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Sets that a task remembers, so that copies don't put their segments into the index again.
 SEEN = 200_000
 #: Sets of a segment from which on it is common, and the most common segments there can be (the least grows with the table).
