@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import image_queries, ml_queries, relational_queries, transform_queries, vigilance_queries
+from .plans import geometry_queries, image_queries, ml_queries, operator_queries, relational_queries, transform_queries, vigilance_queries
 
-MODULES = (vigilance_queries, relational_queries, image_queries, transform_queries, ml_queries)
+MODULES = (vigilance_queries, relational_queries, image_queries, transform_queries, ml_queries, geometry_queries, operator_queries)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = vigilance_queries.QUERIES["perclos_alerts"]

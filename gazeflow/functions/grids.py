@@ -5,6 +5,7 @@ A stencil is evaluated inside the row, so it needs no exploded pixels, join or s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -36,6 +37,22 @@ def box(size: int) -> Kernel:
     return [(dy, dx, 1) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
 
 
+def binomial(size: int) -> Kernel:
+    """Integer Gaussian weights: products of binomial coefficients."""
+    row = [math.comb(size - 1, i) for i in range(size)]
+    r = size // 2
+    return [(y - r, x - r, row[y] * row[x]) for y in range(size) for x in range(size)]
+
+
+def element(shape: str, size: int) -> Kernel:
+    """A structuring element: ``rect``, ``cross`` or ``ellipse``."""
+    r, out = size // 2, []
+    for dy in range(-r, r + 1):
+        reach = {"rect": r, "cross": r if dy == 0 else 0, "ellipse": round(math.sqrt(r * r - dy * dy))}[shape]
+        out += [(dy, dx, 1) for dx in range(-reach, reach + 1)]
+    return out
+
+
 class Grid:
     """Expressions for images of one height and width."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grids
 from ..functions.grids import Grid, Kernel
+from ..operators import masks
 from ..sources.tables import images
 
 GRID = Grid(8, 8)
@@ -140,7 +141,8 @@ add("mask_thin_gap", lambda d: dark(d).select("img", *(F.aggregate(a, F.lit(0),
     f"""WITH {PX}, {_MASK}, e AS ({near_sql("mask", grids.SQUARE, "min(V)", "drop")}), o AS ({near_sql("e", grids.SQUARE, "max(V)", "drop", "v")}),
 d AS ({near_sql("mask", grids.SQUARE, "max(V)", "drop")}), c AS ({near_sql("d", grids.SQUARE, "min(V)", "drop", "v")})
 SELECT m.img, CAST(sum(m.g) AS BIGINT) AS area, CAST(sum(m.g - o.v) AS BIGINT) AS thin, CAST(sum(c.v - m.g) AS BIGINT) AS gap FROM mask m JOIN o USING (img, y, x) JOIN c USING (img, y, x) GROUP BY m.img""")
-add("mask_duality", lambda d: dark(d).select("img", F.aggregate(F.zip_with(F.transform(GRID.erode(F.col("m")), lambda v: 1 - v), GRID.dilate(F.transform("m", lambda v: 1 - v)), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v).cast("long").alias("differing")), f"WITH {PX} SELECT DISTINCT img, CAST(0 AS BIGINT) AS differing FROM px")
+add("mask_duality", lambda d: dark(d).select("img", F.aggregate(F.zip_with(F.transform(GRID.erode(F.col("m")), lambda v: 1 - v), GRID.dilate(F.transform("m", lambda v: 1 - v)), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v).cast("long").alias("differing")), f"""WITH {PX}, {_MASK}, inverse AS (SELECT img, y, x, 1 - g AS g FROM mask), e AS ({near_sql('mask', grids.SQUARE, 'min(V)', 'drop')}), i AS ({near_sql('inverse', grids.SQUARE, 'max(V)', 'drop')})
+SELECT e.img, CAST(sum(abs(1 - e.v - i.v)) AS BIGINT) AS differing FROM e JOIN i USING (img, y, x) GROUP BY e.img""")
 
 # Components
 _REACH = """reach AS (SELECT img, y, x, y * 8 + x AS l FROM mask WHERE g = 1 UNION SELECT p.img, p.y, p.x, r.l FROM reach r JOIN mask p ON p.img = r.img AND p.g = 1 AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1{}),
@@ -149,7 +151,7 @@ c AS (SELECT img, y, x, min(l) AS l FROM reach GROUP BY img, y, x), a AS (SELECT
 
 def regions(d: DataFrame, eight: bool) -> DataFrame:
     """Components of the dark mask and the area of the largest."""
-    labels = pixels(dark(d), GRID.labelled(F.col("m"), eight)).where("v >= 0").groupBy("img", "v").agg(F.count("*").alias("n"))
+    labels = masks.with_labels(dark(d).withColumnRenamed("m", "mask"), eight=eight).select("img", F.explode("labels").alias("v")).where("v >= 0").groupBy("img", "v").agg(F.count("*").alias("n"))
     found = labels.groupBy("img").agg(F.count("*").alias("n_components"), F.max("n").alias("largest"))
     return d.select("img").join(found, "img", "left").select("img", F.coalesce("n_components", F.lit(0)).alias("n_components"), F.coalesce("largest", F.lit(0)).alias("largest"))
 
@@ -193,24 +195,3 @@ def edge_preservation(d: DataFrame) -> DataFrame:
 # Texture
 stencil_lbp = [(-1, -1, 1), (-1, 0, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 16), (1, 0, 32), (1, -1, 64), (0, -1, 128)]
 add("img_lbp_histogram", lambda d: pixels(d, GRID.lbp(F.col("g"))).groupBy("img", F.col("v").alias("code")).agg(F.count("*").alias("n")), f"WITH {PX}, l AS (SELECT c.img, c.y, c.x, CAST(sum(CASE WHEN p.g >= c.g THEN n.k ELSE 0 END) AS INT) AS code FROM px c CROSS JOIN {values(stencil_lbp)} JOIN px p ON p.img = c.img AND p.y = greatest(0, least(7, c.y + n.dy)) AND p.x = greatest(0, least(7, c.x + n.dx)) GROUP BY c.img, c.y, c.x) SELECT img, code, count(*) AS n FROM l GROUP BY img, code")
-
-
-# Repeated erosion and dilation
-def curve(step: Callable[[Column], Column], mask: Column, times: int) -> Column:
-    """Foreground counts after 1, 2, ... steps."""
-
-    def after(m: Column, left: int, counts: list[Column]) -> Column:
-        counts = [*counts, F.aggregate(m, F.lit(0), lambda s, v: s + v).cast("long")]
-        return F.array(*counts) if left == 1 else grids.let(step(m), lambda n: after(n, left - 1, counts))
-
-    return grids.let(step(mask), lambda m: after(m, times, []))
-
-
-def curve_sql(aggregate: str, times: int) -> str:
-    steps = ", ".join(f"s{i} AS ({near_sql(f's{i - 1}' if i > 1 else 'mask', grids.CROSS, f'{aggregate}(V)', 'drop', 'v' if i > 1 else 'g')})" for i in range(1, times + 1))
-    parts = " UNION ALL ".join(f"SELECT img, {i} AS k, sum(v) AS n FROM s{i} GROUP BY img" for i in range(1, times + 1))
-    return f"WITH {PX}, {_MASK}, {steps} SELECT img, CAST(k AS INT) AS k, CAST(n AS BIGINT) AS n FROM ({parts}) u"
-
-
-for _name, _step, _agg in (("erosion", GRID.erode, "min"), ("dilation", GRID.dilate, "max")):
-    add(f"mask_{_name}_curve", lambda d, f=_step: dark(d).select("img", F.posexplode(curve(lambda m: f(m, grids.CROSS), F.col("m"), 3)).alias("k", "n")).select("img", (F.col("k") + 1).alias("k"), "n"), curve_sql(_agg, 3))

@@ -28,13 +28,16 @@ SELECT c_custkey, name, split_part(name, '_', 2) AS subject, CAST(split_part(nam
     "grouping_sets_crosstab": f"""WITH {_SET} SELECT glasses, lighting, count(*) AS n, CAST(sum(CASE WHEN truth <> guess THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM s GROUP BY GROUPING SETS ((glasses), (lighting), ())""",
     "subject_disjoint_split": """WITH u AS (SELECT DISTINCT user_id FROM {events}), o AS (SELECT user_id, row_number() OVER (ORDER BY md5(concat('7', CAST(user_id AS STRING))), user_id) AS k, count(*) OVER () AS n FROM u)
 SELECT user_id, CASE WHEN k <= floor(n * 0.62D) THEN 'train' WHEN k <= floor(n * 0.81D) THEN 'val' ELSE 'test' END AS split FROM o""",
-    "leakage_check": """WITH t AS (SELECT DISTINCT user_id FROM {events} WHERE user_id % 3 = 0), v AS (SELECT DISTINCT user_id FROM {events} WHERE user_id % 3 = 1) SELECT count(*) AS n_shared FROM (SELECT user_id FROM t INTERSECT SELECT user_id FROM v) x""",
+    "leakage_check": """WITH u AS (SELECT DISTINCT user_id FROM {events}), o AS (SELECT user_id, row_number() OVER (ORDER BY md5(concat('7', CAST(user_id AS STRING))), user_id) AS k, count(*) OVER () AS n FROM u),
+s AS (SELECT user_id, CASE WHEN k <= floor(n * 0.62D) THEN 'train' WHEN k <= floor(n * 0.81D) THEN 'val' ELSE 'test' END AS split FROM o), e AS (SELECT e.user_id, s.split AS by_subject, CASE WHEN e.event_id % 5 = 0 THEN 'test' ELSE 'train' END AS by_frame FROM {events} e JOIN s ON s.user_id = e.user_id)
+SELECT 'subject' AS split_by, count(*) AS n_shared FROM (SELECT user_id FROM e WHERE by_subject = 'train' INTERSECT SELECT user_id FROM e WHERE by_subject = 'test') x
+UNION ALL SELECT 'frame' AS split_by, count(*) AS n_shared FROM (SELECT user_id FROM e WHERE by_frame = 'train' INTERSECT SELECT user_id FROM e WHERE by_frame = 'test') y""",
     "round_robin_sample": """WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY event_type, user_id ORDER BY md5(CAST(event_id AS STRING)), event_id) AS round FROM {events}),
 p AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round, md5(CAST(user_id AS STRING)), user_id) AS k FROM r) SELECT event_id, user_id, event_type, CAST(k AS BIGINT) AS k FROM p WHERE k <= 100""",
     "quota_coverage": """SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_subjects, greatest(0, 2500 - count(*)) AS unmet FROM {events} GROUP BY event_type""",
     "join_families": """WITH a AS (SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey), b AS (SELECT o_custkey, count(*) AS n_lines FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey)
 SELECT c_custkey, c_mktsegment, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines, total FROM {customer} LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN b ON b.o_custkey = c_custkey""",
-    "missing_features": """SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)""",
+    "missing_features": """SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)""",
     "last_row_wins": """SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM {orders} GROUP BY o_custkey""",
     "nonfinite_imputation": """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN vec_id % 7 = 1 THEN CAST('Infinity' AS DOUBLE) WHEN vec_id % 7 = 2 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(label AS DOUBLE) END AS f FROM {embeddings})
 SELECT vec_id, CASE WHEN isnan(f) THEN 0.0D WHEN f = CAST('Infinity' AS DOUBLE) THEN 1000000.0D WHEN f = CAST('-Infinity' AS DOUBLE) THEN -1000000.0D ELSE f END AS f FROM r""",

@@ -25,10 +25,7 @@ def rows(names, found):
     return sorted(tuple(text(r[i]) for i in order) for r in found)
 
 
-SLOW = {n for n in catalog.QUERIES if n.startswith(("mask_", "dct_", "img_median_5", "img_mean_5"))} - {"mask_open_cross", "mask_components_8", "dct_quantised_50", "dct_coefficients", "mask_boundary"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     want = duck.execute(catalog.ORACLE_SQL[name])
