@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 
 from ..operators import packed
 from ..sources.tables import table
-from ..streaming.vigilance import stream_perclos
+from ..streaming.vigilance import stream_calibration, stream_perclos
 from . import vigilance_queries
 
-FAMILIES = {"rows_upper": (0, 32), "rows_lower": (32, 64), "all": (0, 64)}
+#: Where each family's features stand, and the combinations that an ablation compares.
+FAMILIES = {"morph": (0, 16), "transform": (16, 32), "hog": (32, 48), "lbp": (48, 64)}
+COMBINATIONS = [("morph",), ("transform",), ("hog",), ("lbp",), ("morph", "transform"), ("hog", "lbp"), tuple(FAMILIES)]
+#: The search: kind of model and its parameters.
+GRID = [
+    *[("linear_svc", {"c": c}) for c in (0.001, 0.01, 0.1, 1.0, 10.0)],
+    *[("rbf_svc", {"c": c, "gamma": g}) for c in (1.0, 10.0) for g in (0.25, 1.0, 4.0)],
+    *[("forest", {"trees": t, "depth": d}) for t in (20, 40) for d in (5, 10)],
+]
 
 
-def samples(spark: SparkSession, sf_dir: str, family: str = "all") -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, families: tuple[str, ...] = tuple(FAMILIES)) -> DataFrame:
     """(vec_id, subject, split, label, x): subjects are dealt to splits as a whole."""
-    low, high = FAMILIES[family]
-    d = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 15).alias("subject"), (F.col("label") % 2).cast("double").alias("label"), F.slice("embedding", low + 1, high - low).cast("array<double>").alias("x"))
+    x = F.concat(*[F.slice("embedding", FAMILIES[f][0] + 1, FAMILIES[f][1] - FAMILIES[f][0]) for f in families])
+    d = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 15).alias("subject"), (F.col("label") % 2).cast("double").alias("label"), x.cast("array<double>").alias("x"))
     return d.withColumn("split", F.when(F.col("subject") < 9, "train").when(F.col("subject") < 12, "val").otherwise("test"))
 
 
@@ -46,40 +54,82 @@ def evaluated(model, test: DataFrame, name: str) -> DataFrame:
     return c.select(F.lit(name).alias("model"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), F.lit(round(auc, 6)).alias("auc"))
 
 
-def estimator(name: str) -> Pipeline:
-    scale = StandardScaler(inputCol="v", outputCol="features", withMean=True, withStd=True)
-    last = {"linear_svc": LinearSVC(maxIter=30, regParam=0.01), "rbf_svc": LinearSVC(maxIter=30, regParam=0.001), "forest": RandomForestClassifier(numTrees=30, maxDepth=6, seed=7), "logistic": LogisticRegression(maxIter=30)}[name]
-    return Pipeline(stages=[scale, last])
+def estimator(name: str, **parameters: float) -> Pipeline:
+    """A pipeline from vectors ``v``; only support vector machines and the logistic model are scaled."""
+    if name == "forest":
+        return Pipeline(stages=[RandomForestClassifier(featuresCol="v", numTrees=int(parameters.get("trees", 20)), maxDepth=int(parameters.get("depth", 5)), seed=7)])
+    last = LogisticRegression(maxIter=30) if name == "logistic" else LinearSVC(maxIter=20, regParam=1 / (500 * parameters.get("c", 1.0)))
+    return Pipeline(stages=[StandardScaler(inputCol="v", outputCol="features", withMean=True, withStd=True), last])
+
+
+def vectors(d: DataFrame, name: str = "", **parameters: float) -> DataFrame:
+    """Samples with the vectors that a model takes, kept in memory for its fits: they are read once."""
+    if name == "rbf_svc":
+        d = fourier(d, 64, gamma=parameters["gamma"])
+    return d.withColumn("v", array_to_vector("x")).select("vec_id", "subject", "split", "label", "v").persist()
+
+
+def searched(spark: SparkSession, sf_dir: str) -> list[tuple[str, dict, DataFrame]]:
+    """Every setting of the grid fitted on the training subjects and measured on the validation subjects."""
+    out, held = [], {}
+    for name, parameters in GRID:
+        key = parameters.get("gamma")
+        if key not in held:
+            held[key] = vectors(samples(spark, sf_dir), "rbf_svc" if key else "", **({"gamma": key} if key else {}))
+        d = held[key]
+        label = " ".join([name, *[f"{k}={v:g}" for k, v in parameters.items()]])
+        row = evaluated(estimator(name, **parameters).fit(d.where("split = 'train'")), d.where("split = 'val'"), label).first()
+        out.append((name, parameters, row))
+    for d in held.values():
+        d.unpersist()
+    return out
 
 
 def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each kind of model fitted on the training subjects and measured on the validation subjects."""
-    out = None
-    for name in ("linear_svc", "rbf_svc", "forest", "logistic"):
-        d = samples(spark, sf_dir)
-        d = (fourier(d, 64) if name == "rbf_svc" else d).withColumn("v", array_to_vector("x")).select("split", "label", "v")
-        got = evaluated(estimator(name).fit(d.where("split = 'train'")), d.where("split = 'val'"), name)
-        out = got if out is None else out.union(got)
-    return out
+    """The grid's settings by falling accuracy on the validation subjects; of equal ones the earlier comes first."""
+    rows = sorted((r for _, _, r in searched(spark, sf_dir)), key=lambda r: -r.accuracy)  # one row a setting
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "rank int, model string, accuracy double, precision double, recall double, f1 double, auc double")
 
 
 def family_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same model on each family of features."""
+    """The same model on each combination of families of features."""
     out = None
-    for family in FAMILIES:
-        d = samples(spark, sf_dir, family).withColumn("v", array_to_vector("x")).select("split", "label", "v")
-        got = evaluated(estimator("logistic").fit(d.where("split = 'train'")), d.where("split = 'val'"), family)
+    for families in COMBINATIONS:
+        d = vectors(samples(spark, sf_dir, families))
+        got = evaluated(estimator("logistic").fit(d.where("split = 'train'")), d.where("split = 'val'"), "+".join(families))
         out = got if out is None else out.union(got)
     return out
 
 
+def platt(d: DataFrame, folds: int = 5, **parameters: float):
+    """A support vector machine fitted on all rows, and a curve from its scores to probabilities.
+
+    The curve is fitted on scores that come from machines which did not see the row: one for each fold.
+    """
+    d = d.withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(folds)))
+    scored = lambda m, rows: m.transform(rows).select("vec_id", "subject", "label", vector_to_array("rawPrediction")[1].alias("s")).withColumn("features", array_to_vector(F.array("s")))
+    held = None
+    for k in range(folds):
+        part = scored(estimator("linear_svc", **parameters).fit(d.where(F.col("fold") != k)), d.where(F.col("fold") == k))
+        held = part if held is None else held.union(part)
+    curve = LogisticRegression(maxIter=50).fit(held)
+    svm = estimator("linear_svc", **parameters).fit(d)
+    return lambda rows: curve.transform(scored(svm, rows)).select("vec_id", "subject", "label", "prediction", "rawPrediction", vector_to_array("probability")[1].alias("p_open"))
+
+
 def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a support vector machine made into probabilities by a logistic curve fitted on other subjects' scores."""
-    d = samples(spark, sf_dir).withColumn("v", array_to_vector("x"))
-    svm = estimator("linear_svc").fit(d.where("split = 'train'"))
-    score = lambda rows: svm.transform(rows).select("vec_id", "label", vector_to_array("rawPrediction")[1].alias("s")).withColumn("features", array_to_vector(F.array("s")))
-    curve = LogisticRegression(maxIter=50).fit(score(d.where("split = 'val'")))
-    return curve.transform(score(d.where("split = 'test'"))).select("vec_id", "label", F.round(vector_to_array("probability")[1], 6).alias("p_open"))
+    """Probabilities of the test subjects' rows by a machine that was calibrated on five folds of the training rows."""
+    d = vectors(samples(spark, sf_dir))
+    return platt(d.where("split = 'train'"))(d.where("split = 'test'")).select("vec_id", "label", F.round("p_open", 6).alias("p_open"))
+
+
+def test_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated machine of the training subjects on the test subjects: accuracy of each subject and of all."""
+    d = vectors(samples(spark, sf_dir))
+    out = platt(d.where("split = 'train'"))(d.where("split = 'test'"))
+    rows = out.groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("accuracy"))
+    whole = out.agg(F.lit(None).cast("long").alias("subject"), F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("accuracy"))
+    return rows.union(whole)
 
 
 def eye_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +139,5 @@ def eye_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("eye_state").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.round(F.avg(F.col("shape")["eccentricity"]), 4).alias("eccentricity"), F.round(F.avg(F.col("shape")["extent"]), 4).alias("extent"), F.round(F.avg(F.size("hog")), 1).alias("hog_width"))
 
 
-QUERIES = {f.__name__: f for f in (model_search, family_ablation, calibrated_scores, eye_features, stream_perclos)}
-ORACLE_SQL = {"stream_perclos": "SELECT session, frame, perclos, n, alert FROM (" + vigilance_queries.ORACLE_SQL["perclos_alerts"] + ") t"}
+QUERIES = {f.__name__: f for f in (model_search, family_ablation, calibrated_scores, test_evaluation, eye_features, stream_perclos, stream_calibration)}
+ORACLE_SQL = {"stream_perclos": "SELECT session, frame, perclos, n, alert FROM (" + vigilance_queries.ORACLE_SQL["perclos_alerts"] + ") t", "stream_calibration": vigilance_queries.ORACLE_SQL["ear_calibration"]}
