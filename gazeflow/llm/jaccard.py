@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, small, stored
-from .arrow import grouped, slices
+from .arrow import grouped, lean, slices
 from .graph import components
 
 U = np.uint64
@@ -280,6 +280,7 @@ def set_table(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     which sets were seen is bounded).
     """
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         for part, sets in shingle_sets(batches, 1, words):
@@ -321,6 +322,7 @@ def shared_segments(table: DataFrame) -> DataFrame:
     some = segments.where(F.pmod(F.xxhash64("sid"), F.lit(16)) == 0).groupBy("segment").agg(F.count("*").alias("c"))
     common = stored(some.where(f"c >= {least // 16}").select("segment"), "common")
 
+    @lean
     def run(batches):
         last: tuple[int, int, bool] | None = None  # the row before: key, set, and whether it is out
         for batch in batches:
@@ -366,6 +368,7 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
     a, b = (sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").where(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -386,6 +389,7 @@ def set_grams(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int)
     asked = stored(wanted.distinct().join(first, "sid").select("sid", "id"), "wanted")
     texts = docs.join(small(asked.select("id").distinct()), "id", "left_semi").union(docs.where("id is null")).select("text")
 
+    @lean
     def grams(batches):
         for _, sets in shingle_sets(batches, 0, words):
             own = {set_id(s): s for s in sets if len(s)}
@@ -404,6 +408,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     left = sets.join(parts, sets.sid == parts.a).select("a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "grams").drop("parts")
     right = pairs.join(parts, "a").join(sets, F.col("b") == sets.sid).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "grams")
 
+    @lean
     def run(batches):
         a, own = None, None
         for batch in batches:
@@ -458,6 +463,7 @@ def with_candidates(groups: DataFrame, sketches: DataFrame, num: int, den: int)
     """(kind, grp, sid) of those members that may be similar to one of another label, and in groups of kind 1 of another tree, of their group."""
     rows = block_pairs(groups, sketches, SIDE, "label", "tree", "n", "sketch")
 
+    @lean
     def run(batches):
         for (kind, grp, low, high), part in grouped(batches, 4):
             if part.num_rows < 2:
@@ -484,6 +490,7 @@ def block_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     """
     rows = block_pairs(groups, sets, BLOCK, "grams")
 
+    @lean
     def run(batches):
         for _, part in grouped(batches, 4):
             sids, at = np.unique(part.column(4).to_numpy(), return_index=True)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .arrow import map_rows, slices
+from .arrow import lean, map_rows, slices
 from .tokens import WORD, PrefixCounter
 
 ODD = re.compile("[\x1c-\x1f]")
@@ -150,6 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """Pieces of all documents with their task and their rank among that task's pieces of equal length."""
     schema = f"{id_col} long, piece int, start long, length long, ids_crc32 long, ids binary, task int, local long"
 
+    @lean
     def make(batches):
         from pyspark import TaskContext
 

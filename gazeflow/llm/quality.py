@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_rows, slices
+from .arrow import lean, map_rows, slices
 
 BUCKETS, PAIRS, WIDTH, GRAM = 1 << 15, 1 << 16, 8, 3
 #: Labelled rows that a model is fitted on, at most.
@@ -101,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_label").alias("_label"), F.min("_text").alias("_text"))
 
+    @lean
     def run(batches):
         found = [(b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()) for b in batches for i in range(b.num_rows)]
         found.sort()
@@ -180,6 +181,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
     weights, bias = model
     packed, at = weights.astype("<f4").tobytes(), docs.columns.index(text_col)
 
+    @lean
     def run(batches):
         s = Scorer(np.frombuffer(packed, "<f4"), bias)
         for batch in batches:

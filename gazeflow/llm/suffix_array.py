@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 from .anchors import Stretches, U, mix
-from .arrow import grouped, slices
+from .arrow import grouped, lean, slices
 
 #: Distinct stretches of a class that one task sorts; those of larger classes are dealt out by window.
 CLASS_ROWS = 2000
 #: Bytes of stretches whose suffixes are sorted together (whole classes).
 SORT_BYTES = 1 << 19
 #: Bytes of text that are cut into stretches at once; working memory is about a hundred times that.
-CUT_BYTES = 1 << 20
+CUT_BYTES = 1 << 19
 #: Stretches whose copies a task looks for at once before they are dealt out.
 LOCAL_ROWS = 500_000
 #: The place of documents without an id: after all others.
@@ -155,6 +155,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
     """Stretches (cls, own, doc, place); those that equal an earlier one of the same task have a null ``cls``."""
     names = ["cls", "own", "doc", "place"]
 
+    @lean
     def run(batches):
         cut = Stretches(window)
         held: list[tuple] = []
@@ -209,6 +210,7 @@ def decided(stretches: DataFrame) -> DataFrame:
     def made(kind, doc, place, cls):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (doc, place, cls))], names=columns)
 
+    @lean
     def run(batches):
         last: tuple | None = None  # class, hash, document and place of the first of the run at the end of a batch
         open_: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(3)]
@@ -269,6 +271,7 @@ def with_lists(docs: DataFrame, rows: DataFrame, *columns: str, how: str = "inne
 def sorted_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     """(doc, start, end) of the repeats within distinct stretches of a class."""
 
+    @lean
     def fetch(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -281,6 +284,7 @@ def sorted_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
 
     schema = "cls long, doc long, start long, bytes binary"
 
+    @lean
     def sort(batches):
         held: list[pa.RecordBatch] = []
         size = 0
@@ -311,6 +315,7 @@ def dealt_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     """(doc, start, end) of the repeats within classes of very many distinct stretches: their windows are dealt out one by one."""
     cut = Stretches(window)
 
+    @lean
     def windows(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -372,6 +377,7 @@ def dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col:
     joined = given.join(found, "doc", "left").select("_given", "text", "list")
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -396,6 +402,7 @@ def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
     joined = given.join(found.select(F.col("doc").alias("_doc"), F.col("list").alias("_list")), "_doc", "left").select(*docs.columns, "_list")
     at, length = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
+    @lean
     def run(batches):
         for batch in batches:
             for part in slices(batch, at):
