@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
-from .arrow import grouped, map_rows
+from .arrow import grouped, in_arrow, map_rows
 from .graph import components
 
 #: Neighbours kept for a node, and rows of a block in which all pairs are compared.
@@ -88,7 +88,7 @@ def bucket_neighbours(nodes: DataFrame, dtype: str, tables: range) -> DataFrame:
                     own = np.where(bits > 0, codes[np.arange(len(rows)), np.maximum(bits, 1) - 1], 0)
                     yield pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), part.column(1), pa.array(own), pa.array(side[:, BITS]), part.column(0), part.column(2)], names=["t", "space", "code", "side", "id", "vec"])
 
-    coded = sized.mapInArrow(code, "t int, space string, code long, side double, id long, vec binary")
+    coded = sized.transform(in_arrow, code, "t int, space string, code long, side double, id long, vec binary")
     dealt = coded.repartitionByRange("t", "space", "code", "side", "id").sortWithinPartitions("t", "space", "code", "side", "id")
 
     def near(batches):
@@ -98,7 +98,7 @@ def bucket_neighbours(nodes: DataFrame, dtype: str, tables: range) -> DataFrame:
                 if part.num_rows > 1:
                     yield nearest(part.column(4).to_numpy(), unit(part.column(5), dtype))
 
-    return dealt.mapInArrow(near, "a long, b long, sim double")
+    return dealt.transform(in_arrow, near, "a long, b long, sim double")
 
 
 def nearest(ids: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
@@ -135,7 +135,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dtype: str) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(sims[a, b])], names=["a", "b", "sim"])
 
-    return members.repartition("mid").sortWithinPartitions("mid").mapInArrow(run, "a long, b long, sim double")
+    return members.repartition("mid").sortWithinPartitions("mid").transform(in_arrow, run, "a long, b long, sim double")
 
 
 def audited(own: DataFrame, audit: int) -> DataFrame:
@@ -178,7 +178,7 @@ def across(some: DataFrame, others: DataFrame, dtype: str, threshold: float) ->
             found = [[None, *ids[a[first]].tolist()], [None, *ids[b[first]].tolist()], [n] + [0] * len(first), [int(out.sum())] + [0] * len(first)]
             yield pa.RecordBatch.from_arrays([pa.array([space] * (len(first) + 1), pa.string()), *(pa.array(x, pa.int64()) for x in found)], names=["space", "a", "b", "links", "out"])
 
-    return rows.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").mapInArrow(run, "space string, a long, b long, links long, out long")
+    return rows.repartition("space", "i", "j").sortWithinPartitions("space", "i", "j").transform(in_arrow, run, "space string, a long, b long, links long, out long")
 
 
 def joined(nodes: DataFrame, links: DataFrame, known: DataFrame, dtype: str, threshold: float) -> DataFrame:
@@ -216,7 +216,7 @@ def link_counts(nodes: DataFrame, labels: DataFrame, dtype: str, threshold: floa
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[a], ids[b]])), pa.array(np.concatenate([near @ n[b], n[a] @ near]))], names=["id", "links"])
 
-    return pairs.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return pairs.transform(in_arrow, run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def searched(nodes: DataFrame, dtype: str, threshold: float) -> DataFrame:

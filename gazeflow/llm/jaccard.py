@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, small, stored
-from .arrow import grouped, lean, slices
+from .arrow import grouped, in_arrow, lean, slices
 from .graph import components
 
 U = np.uint64
@@ -307,7 +307,7 @@ def set_table(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 sketches[k] = s
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), lists, pa.array(sketches, pa.binary())], names=["id", "n", "sid", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, sid long, keys array<long>, sketch binary")
+    return docs.transform(in_arrow, run, "id long, n long, sid long, keys array<long>, sketch binary")
 
 
 def shared_segments(table: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def shared_segments(table: DataFrame) -> DataFrame:
 
     common = F.broadcast(common)  # at most 16 * MOST_COMMON keys
     dealt = segments.join(common, "segment", "left_anti").repartition("segment").sortWithinPartitions("segment", "sid")
-    return dealt.mapInArrow(run, "segment long, sid long").union(segments.join(common, "segment", "left_semi").distinct())
+    return dealt.transform(in_arrow, run, "segment long, sid long").union(segments.join(common, "segment", "left_semi").distinct())
 
 
 def best_partners(shared: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Da
                     keep.append(apart <= (den - num) * (na + nb) // (den + num))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.transform(in_arrow, run, "a long, b long")
 
 
 def set_grams(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -396,7 +396,7 @@ def set_grams(docs: DataFrame, table: DataFrame, wanted: DataFrame, words: int)
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["sid", "grams"])
 
-    found = texts.mapInArrow(grams, "sid long, grams binary").join(small(asked.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
+    found = texts.transform(in_arrow, grams, "sid long, grams binary").join(small(asked.select("sid")), "sid", "left_semi").dropDuplicates(["sid"])
     sets = stored(found, "sets", "none")
     discard(asked)
     return sets
@@ -430,7 +430,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     dealt = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return dealt.select("a", "part", "b", "grams").mapInArrow(run, "a long, b long")
+    return dealt.select("a", "part", "b", "grams").transform(in_arrow, run, "a long, b long")
 
 
 def spanning(near: np.ndarray) -> list[tuple[int, int]]:
@@ -479,7 +479,7 @@ def with_candidates(groups: DataFrame, sketches: DataFrame, num: int, den: int)
                 out = sid[live]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), kind, np.int32)), pa.array(np.full(len(out), grp)), pa.array(out)], names=["kind", "grp", "sid"])
 
-    return rows.mapInArrow(run, "kind int, grp long, sid long").distinct()
+    return rows.transform(in_arrow, run, "kind int, grp long, sid long").distinct()
 
 
 def block_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -518,7 +518,7 @@ def block_links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             if found := spanning(near):
                 yield pa.RecordBatch.from_arrays([pa.array(sids[[i for i, _ in found]]), pa.array(sids[[j for _, j in found]])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.transform(in_arrow, run, "a long, b long")
 
 
 def open_groups(shared: DataFrame, labels: DataFrame, trees: DataFrame) -> DataFrame:

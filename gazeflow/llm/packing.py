@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .arrow import lean, map_rows, slices
+from .arrow import in_arrow, lean, map_rows, slices
 from .tokens import WORD, PrefixCounter
 
 ODD = re.compile("[\x1c-\x1f]")
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(make, schema)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).transform(in_arrow, make, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import lean, map_rows, slices
+from .arrow import in_arrow, lean, map_rows, slices
 
 BUCKETS, PAIRS, WIDTH, GRAM = 1 << 15, 1 << 16, 8, 3
 #: Labelled rows that a model is fitted on, at most.
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             weights, bias = train([t for _, _, t in found], [n for _, n, _ in found])
             yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    got = sample.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = sample.repartition(1).transform(in_arrow, run, "weights binary, bias double").collect()
     return (np.frombuffer(got[0][0], "<f4").astype(float), got[0][1]) if got else (np.zeros(BUCKETS + PAIRS), 0.0)
 
 
@@ -188,4 +188,4 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
             for part in slices(batch, at):
                 yield part.filter(pa.array([s(t or "") >= threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 from .anchors import Stretches, U, mix
-from .arrow import grouped, lean, slices
+from .arrow import grouped, in_arrow, lean, slices
 
 #: Distinct stretches of a class that one task sorts; those of larger classes are dealt out by window.
 CLASS_ROWS = 2000
@@ -200,7 +200,7 @@ def stretch_table(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "cls long, own long, doc long, place long")
+    return docs.transform(in_arrow, run, "cls long, own long, doc long, place long")
 
 
 def decided(stretches: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def decided(stretches: DataFrame) -> DataFrame:
 
     dealt = stretches.where("cls is not null").repartition("cls").sortWithinPartitions("cls", "own", "doc", "place")
     here = stretches.where("cls is null").select(F.lit(0).alias("kind"), "doc", "place", "cls")
-    rows = dealt.mapInArrow(run, "kind int, doc long, place long, cls long").unionByName(here)
+    rows = dealt.transform(in_arrow, run, "kind int, doc long, place long, cls long").unionByName(here)
     start = F.shiftright("place", 32)
     return rows.select("kind", "doc", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit((1 << 32) - 1))).alias("end"), "cls")
 
@@ -307,8 +307,8 @@ def sorted_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    whole = with_lists(docs, asked.where("kind = 1"), "cls", "start", "end").mapInArrow(fetch, schema)
-    return whole.repartition("cls").sortWithinPartitions("cls", "doc", "start").mapInArrow(sort, "doc long, start long, end long")
+    whole = with_lists(docs, asked.where("kind = 1"), "cls", "start", "end").transform(in_arrow, fetch, schema)
+    return whole.repartition("cls").sortWithinPartitions("cls", "doc", "start").transform(in_arrow, sort, "doc long, start long, end long")
 
 
 def dealt_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
@@ -325,7 +325,7 @@ def dealt_repeats(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                     a, b = (r.range(r.sums(raw), at, at + window) for r in (cut.one, cut.two))
                     yield pa.RecordBatch.from_arrays([pa.array(mix(a + U(1)).view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["a", "b", "doc", "start"])
 
-    rows = stored(with_lists(docs, asked.where("kind = 2"), "cls", "start", "end").mapInArrow(windows, "a long, b long, doc long, start long"), "windows")
+    rows = stored(with_lists(docs, asked.where("kind = 2"), "cls", "start", "end").transform(in_arrow, windows, "a long, b long, doc long, start long"), "windows")
     firsts = rows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     late = rows.join(firsts, ["a", "b"]).where("doc <> first.doc or start <> first.start")
     return late.select("doc", "start", (F.col("start") + window).alias("end"))
@@ -389,7 +389,7 @@ def dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col:
                 if out:
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return joined.mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.transform(in_arrow, run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -414,4 +414,4 @@ def cut_repeats(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text
                     columns[length] = pa.array([n if t == before else len(t) for t, before, n in zip(texts, part.column(at).to_pylist(), columns[length].to_pylist(), strict=True)], columns[length].type)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1]).filter(stays)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.transform(in_arrow, run, docs.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .arrow import in_arrow
 
 #: An archive is closed once it holds so many compressed bytes; a record is never split.
 ARCHIVE_BYTES = 4 << 20
@@ -146,7 +147,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}.warc.gz"]), pa.array([b"".join(held)])], names=["archive", "content"])
 
-    return stored(rows.mapInArrow(pack, "archive string, content binary"), "warc", "none")
+    return stored(rows.transform(in_arrow, pack, "archive string, content binary"), "warc", "none")
 
 
 def read_archives(archives: DataFrame, keep: bool = True) -> DataFrame:
@@ -177,4 +178,4 @@ def read_archives(archives: DataFrame, keep: bool = True) -> DataFrame:
         if rows:
             yield made(rows)
 
-    return archives.select("content").mapInArrow(unpack, schema)
+    return archives.select("content").transform(in_arrow, unpack, schema)
