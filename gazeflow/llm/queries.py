@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html_text, jaccard, media, packing, quality, suffix_array, tokens, warc
+from . import alignment, bpe, embeddings, html_text, jaccard, media, packing, quality, spelling, suffix_array, token_files, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False).drop("ids")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), *paths, keep=False).drop("groups")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 #: Payload digests as SQL: twenty bits of the hexadecimal SHA-1 are four letters of base32.
 _BASE32 = """array_to_string(list_transform(range(8), lambda i: list_aggregate(list_transform([32768, 1024, 32, 1],
   lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i * 5 + 1 AS INT), 5) AS BIGINT) // d) % 32 + 1 AS INT), 1)), 'string_agg', '')), '')"""
@@ -71,6 +84,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality": op9_quality,
     "op10_html": op10_html,
+    "op11_token_files": op11_token_files,
+    "op12_alignment": op12_alignment,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
