@@ -108,7 +108,9 @@ def edges(d: DataFrame, kx: Kernel, ky: Kernel) -> DataFrame:
     return d.select("img", grids.let(GRID.gradient(F.col("g"), kx, ky), scaled).cast("long").alias("n_edges"))
 
 
-add("img_laplacian_variance", lambda d: pixels(d, GRID.weighted(F.col("g"), grids.LAPLACE4)).groupBy("img").agg(F.round(F.var_pop("v"), 2).alias("variance")), f"WITH {PX}, l AS ({near_sql('px', grids.LAPLACE4, 'sum(V * K)', 'mirror')}) SELECT img, round(var_pop(v), 2) AS variance FROM l GROUP BY img")
+#: Exact: sums of whole numbers over a power of two.
+_EXACT = "(64 * sum(v * v) - sum(v) * sum(v)) / CAST(4096 AS DOUBLE) AS variance"
+add("img_laplacian_variance", lambda d: pixels(d, GRID.weighted(F.col("g"), grids.LAPLACE4)).selectExpr("img", "bigint(v) AS v").groupBy("img").agg(F.expr(_EXACT)), f"WITH {PX}, l AS ({near_sql('px', grids.LAPLACE4, 'sum(V * K)', 'mirror')}) SELECT img, {_EXACT} FROM l GROUP BY img")
 
 # Thresholds
 _OTSU = """o AS (SELECT img, t FROM (SELECT a.img, a.g AS t, count(*) AS n0, sum(b.g) AS s0 FROM (SELECT DISTINCT img, g FROM px) a JOIN px b ON b.img = a.img AND b.g <= a.g GROUP BY a.img, a.g)
