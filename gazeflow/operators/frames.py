@@ -79,23 +79,25 @@ def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, h, w, data): images of 64 x 64 made of up to 64 embeddings with following ids, as 8 x 8 tiles; a missing tile is 128."""
+    """(img, label, h, w, data): images of 64 x 64 made of up to 64 embeddings with following ids, as 8 x 8 tiles; a missing tile is 128. The label is the first tile's."""
     side = MOSAIC * 8
 
     def run(batches):
         for batch in batches:
             out = []
-            for tiles in batch.column(1).to_pylist():
+            for tiles in batch.column(2).to_pylist():
                 whole = np.full((MOSAIC, 8, MOSAIC, 8), 128, np.uint8)
                 for t in tiles:
                     whole[t["tile"] // MOSAIC, :, t["tile"] % MOSAIC, :] = np.array(t["g"]).reshape(8, 8)
                 out.append(whole.tobytes())
             size = pa.array([side] * len(out), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, size, pa.array(out, pa.binary())], names=["img", "h", "w", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, size, pa.array(out, pa.binary())], names=["img", "label", "h", "w", "data"])
 
     n = MOSAIC * MOSAIC
-    rows = images(spark, sf_dir).select(F.floor(F.col("img") / n).alias("img"), F.struct((F.col("img") % n).cast("int").alias("tile"), "g").alias("t"))
-    return rows.groupBy("img").agg(F.collect_list("t").alias("tiles")).mapInArrow(run, "img long, h int, w int, data binary")
+    rows = images(spark, sf_dir)
+    kind = dict(rows.dtypes)["label"]
+    rows = rows.select(F.floor(F.col("img") / n).alias("img"), "label", F.struct((F.col("img") % n).cast("int").alias("tile"), "g").alias("t"))
+    return rows.groupBy("img").agg(F.min_by("label", "t.tile").alias("label"), F.collect_list("t").alias("tiles")).mapInArrow(run, f"img long, label {kind}, h int, w int, data binary")
 
 
 def pixel_rows(df: DataFrame, image: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:

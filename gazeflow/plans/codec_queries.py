@@ -14,9 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Pixels of the mosaics: 64 embeddings each, missing tiles 128.
-MOSAIC_PX = """px AS (SELECT m.img, CAST(p.y AS INT) AS y, CAST(q.x AS INT) AS x,
-  CASE WHEN e.vec_id IS NULL THEN 128 ELSE CAST(greatest(0, least(255, floor(CAST(e.embedding[p.y % 8 * 8 + q.x % 8 + 1] AS DOUBLE) * 256 + 128))) AS INT) END AS g
-  FROM (SELECT DISTINCT vec_id // 64 AS img FROM embeddings) m CROSS JOIN range(0, 64) p(y) CROSS JOIN range(0, 64) q(x) LEFT JOIN embeddings e ON e.vec_id = m.img * 64 + p.y // 8 * 8 + q.x // 8)"""
+MOSAIC_PX = """tile AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+px AS MATERIALIZED (SELECT vec_id // 64 AS img, CAST(vec_id % 64 // 8 * 8 + i // 8 AS INT) AS y, CAST(vec_id % 8 * 8 + i % 8 AS INT) AS x, CAST(greatest(0, least(255, floor(CAST(v AS DOUBLE) * 256 + 128))) AS INT) AS g FROM tile
+  UNION ALL SELECT m.img, CAST(t // 8 * 8 + i // 8 AS INT), CAST(t % 8 * 8 + i % 8 AS INT), 128 FROM (SELECT DISTINCT vec_id // 64 AS img FROM embeddings) m CROSS JOIN range(0, 64) p(t) CROSS JOIN range(0, 64) q(i) WHERE m.img * 64 + t NOT IN (SELECT vec_id FROM embeddings))"""
 
 
 def sweep(df: DataFrame, qualities: tuple[int, ...] = jpeg.QUALITIES, keep: bool = False) -> DataFrame:
