@@ -46,7 +46,11 @@ class ChunkEncoder:
     def learn(self, chunks: list[str]) -> None:
         split, known = [], self.words
         for c in chunks:
-            if "<|" in c:  # perhaps a special string
+            if c.isascii() and c.isalpha():  # most are: one word, or one and a stop
+                split.append((c.lower(),))
+            elif c[-1] in ".," and c[:-1].isalpha() and c.isascii():
+                split.append((c[:-1].lower(), c[-1]))
+            elif "<|" in c:  # perhaps a special string
                 self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
                 split.append(None)
             else:
@@ -71,7 +75,7 @@ class ChunkEncoder:
             self.before, self.known, self.words = self.known, {}, {}
         known, before = self.known, self.before
         new = []
-        for c in {c for s in split for c in s if c not in known}:
+        for c in set().union(*split).difference(known):
             if (old := before.get(c)) is None:
                 new.append(c)
             else:

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import discard, shared_dir, small, stored
-from .arrow import in_arrow, lean, map_rows
-from .packing import encoder
+from ..session import shared_dir, small, stored
+from .arrow import in_arrow, lean, slices
+from .packing import SLICE, encoder
 
 MAGIC, HEAD = b"TOKBITS1", struct.Struct("<8sQIIQQQQ")
 #: Ids in a block (a multiple of 8) and, unless one document has more, in a segment; segments in a file.
@@ -104,49 +104,40 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     """Encode all texts, append ``end_id`` to each, and write token files to ``path``; returns the bits of an id.
 
     Documents stand in ascending order of their ids, null ids first, rows of equal ids by a hash of their text. A null or
-    empty text is ``end_id`` alone, no rows give no segments, and other columns are not read. Texts are encoded where they
-    are read and only packed ids are shuffled, by ranges of ids and hashes, so that a repeated id doesn't fill one task.
+    empty text is ``end_id`` alone, no rows give no segments, and other columns are not read. Texts are shuffled once, by
+    ranges of ids and hashes, so that a repeated id doesn't fill one task, and encoded where they are written.
     """
     from tokenizers import Tokenizer
 
     width = max(1, (max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id)).bit_length())
 
-    def encode():
-        e, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-
-        def run(part: pa.RecordBatch) -> list:
-            ids = [np.frombuffer(x + end, "<u4") for x in e.encode([t or "" for t in part.column(2).to_pylist()])]
-            return [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x, width) for x in ids], pa.binary())]
-
-        return run
-
     @lean
     def cut(batches):
         from pyspark import TaskContext
 
-        task, before, own, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        e, end, task, before, own, ids, held = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0, [], [], 0
 
         def whole():
             return pa.RecordBatch.from_arrays([pa.array([segment(own, ids, width, task, before)], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own and held + n > SEGMENT:
-                    yield whole()
-                    before, own, ids, held = before + held, [], [], 0
-                own.append(doc)
-                ids.append(unpack(raw, n, width))
-                held += n
+            for part in slices(batch, 1, SLICE):
+                for doc, raw in zip(part.column(0).to_pylist(), e.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    one = np.frombuffer(raw + end, "<u4")
+                    if own and held + len(one) > SEGMENT:
+                        yield whole()
+                        before, own, ids, held = before + held, [], [], 0
+                    own.append(doc)
+                    ids.append(one)
+                    held += len(one)
         if own:
             yield whole()
 
     text = F.col(text_col).cast("string")
     some = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    coded = stored(map_rows(some, encode, "doc long, tie long, n long, ids binary", text=2), "coded", codec="lz4")
-    ordered = coded.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "n", "ids")
+    ordered = some.repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "text")
     # the text writer puts a row's bytes into the file as they are, and a line feed after each
     in_arrow(ordered, cut, "segment binary").select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", PER_FILE).text(path)
-    discard(coded)
     return width
 
 
