@@ -30,8 +30,8 @@ SPLIT = re.compile(r"(?<=[^ ]) (?=\S)")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Bytes of text in a slice; distinct chunks in a generation of those whose ids a worker keeps.
-SLICE, CACHE = 8 << 20, 150_000
+#: Bytes of text in a slice, and distinct chunks that are encoded in one call.
+SLICE, TOGETHER = 7 << 19, 100
 
 
 class ByteLevel:
@@ -58,8 +58,8 @@ class ByteLevel:
             self.library.encode_special_tokens = True
             self.encode = lambda text: self.library.encode(text, add_special_tokens=False).ids
 
-    def ids(self, parts: list[str]) -> list[list[int]]:
-        return [self.encode(" " + p) for p in parts]
+    def ids(self, text: str) -> list[int]:
+        return self.encode(" " + text)
 
 
 class Pieces:
@@ -78,8 +78,8 @@ class Pieces:
             m = BYTE_PIECE.fullmatch(p) if self.model.is_byte(i) else None
             self.bytes[i] = bytes([int(m[1], 16)]) if m else p.replace(SPACE_MARK, " ").encode()
 
-    def ids(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode(parts, num_threads=1)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
 def joined(texts: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
@@ -87,6 +87,10 @@ def joined(texts: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), between)
 
 
+def odd(chunk: str) -> bool:
+    return chunk[0] == " " or chunk[-1].isspace()
+
+
 class Aligner:
     """Encodes chunks with both tokenizers and aligns a slice of documents."""
 
@@ -95,39 +99,43 @@ class Aligner:
 
         self.both = ByteLevel(first), Pieces(second)
         self.lengths = tuple(np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64) for t in self.both)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": "false"})
 
-    def encoded(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
-        """Both encodings of each chunk as 32-bit ids; none at all where the bytes of one are not those of the chunk."""
-        if len(self.known) > CACHE:  # what is met again moves to the younger generation
-            self.before, self.known = self.known, {}
-        new = []
-        for c in chunks:
-            if c not in self.known:
-                if (old := self.before.get(c)) is None:
-                    new.append(c)
-                else:
-                    self.known[c] = old
-        pairs = zip(*(t.ids(new) for t in self.both), strict=True) if new else ()
-        for c, two in zip(new, pairs, strict=True):
-            raw = b" " + c.encode()
-            same = all(b"".join(map(t.bytes.__getitem__, ids)) == raw for t, ids in zip(self.both, two, strict=True))
-            self.known[c] = tuple(np.array(ids, "<i4").tobytes() for ids in two) if same else (b"", b"")
-        return list(map(self.known.__getitem__, chunks))
+    def encoded(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all chunks in turn and how many each chunk has; none where the bytes of a side are not the chunk's.
+
+        The chunks are encoded as one text, in which they are parted as in their own texts, or one by one if that text changes.
+        """
+        text = " ".join(chunks)
+        raw, ends = (" " + text).encode(), np.cumsum([1 + len(c.encode()) for c in chunks])
+        out = []
+        for t, lengths in zip(self.both, self.lengths, strict=True):
+            ids = t.ids(text)
+            flat = np.array(ids, np.int64)
+            stop = np.cumsum(lengths[flat])
+            upto = np.searchsorted(stop, ends, "right")
+            if b"".join(map(t.bytes.__getitem__, ids)) != raw or (stop[upto - 1] != ends).any():
+                if len(chunks) == 1:
+                    return [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
+                each = [self.encoded([c]) for c in chunks]
+                return [tuple(np.concatenate([e[side][k] for e in each]) for k in (0, 1)) for side in (0, 1)]
+            out.append((flat, np.diff(upto, prepend=0)))
+        return out
 
     def tables(self, chunks: list[str]) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
-        """Interval tables (i, c, id, s, e) of both encodings, all chunks on one line of byte offsets, and tokens by chunk."""
+        """Interval tables (i, c, id, s, e) of both encodings, all chunks on one line of byte offsets, and tokens by chunk.
+
+        Chunks that begin with a space or end with white space must come last; they are encoded by themselves.
+        """
+        plain = next((i for i, c in enumerate(chunks) if odd(c)), len(chunks))
+        runs = [chunks[i : min(i + TOGETHER, plain)] for i in range(0, plain, TOGETHER)] + [[c] for c in chunks[plain:]]
+        made = [self.encoded(r) for r in runs]
         out, counts = [], []
-        encoded = self.encoded(chunks)
         for side, lengths in enumerate(self.lengths):
-            ids = [two[side] for two in encoded]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            end = np.cumsum(lengths[flat])
+            ids, n = (np.concatenate([np.zeros(0, np.int64), *(m[side][k] for m in made)]) for k in (0, 1))
+            end = np.cumsum(lengths[ids])
             counts.append(n)
-            out.append(pa.table({"i": np.arange(len(flat)), "c": np.repeat(np.arange(len(n), dtype=np.int32), n), "id": flat, "s": end - lengths[flat], "e": end}))
+            out.append(pa.table({"i": np.arange(len(ids)), "c": np.repeat(np.arange(len(n), dtype=np.int32), n), "id": ids.astype(np.int32), "s": end - lengths[ids], "e": end}))
         return *out, *counts
 
     def groups(self, a: pa.Table, b: pa.Table) -> None:
@@ -146,7 +154,8 @@ class Aligner:
 
     def overlaps(self, text: str) -> list[tuple[int, int]]:
         """Pairs of token numbers of one text, first and second tokenizer, whose bytes overlap."""
-        a, b, *_ = self.tables(SPLIT.split(text) if text else [])
+        chunks = SPLIT.split(text) if text else []
+        a, b, *_ = self.tables(chunks) if not any(map(odd, chunks[:-1])) else self.tables([text])
         self.groups(a, b)
         return self.db.execute("SELECT a.i, b.i FROM a JOIN b ON a.s < b.e AND b.s < a.e ORDER BY 1, 2").fetchall()
 
@@ -156,8 +165,10 @@ class Aligner:
         parts = [SPLIT.split(t) if t else [] for t in texts]
         per_doc = np.fromiter(map(len, parts), np.int64, len(parts))
         coded = pa.array([p for some in parts for p in some], pa.string()).dictionary_encode()
-        chunk = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        a, b, n_a, n_b = self.tables(coded.dictionary.to_pylist())
+        chunks = coded.dictionary.to_pylist()
+        order = np.argsort(np.fromiter(map(odd, chunks), bool, len(chunks)), kind="stable")
+        chunk = np.argsort(order)[coded.indices.to_numpy(zero_copy_only=False)]
+        a, b, n_a, n_b = self.tables([chunks[i] for i in order.tolist()])
         wrong = n_a == 0
         doc = np.repeat(np.arange(len(parts)), per_doc)
         good = np.ones(len(parts), bool)
