@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,10 @@ SPLIT = re.compile(r"(?<=[^ ]) (?=\S)")
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_MARK = "▁"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
-#: Bytes of text in a slice, and distinct chunks that are encoded in one call.
-SLICE, TOGETHER = 7 << 19, 100
+#: Rows of id pairs in a batch.
+PAIRS = 50_000
+#: Bytes of text in a slice, distinct chunks that are encoded in one call, and chunks of documents whose pairs are counted at once.
+SLICE, TOGETHER, BLOCK = 5 << 20, 100, 100_000
 
 
 class ByteLevel:
@@ -87,10 +90,6 @@ def joined(texts: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), between)
 
 
-def odd(chunk: str) -> bool:
-    return chunk[0] == " " or chunk[-1].isspace()
-
-
 class Aligner:
     """Encodes chunks with both tokenizers and aligns a slice of documents."""
 
@@ -98,45 +97,47 @@ class Aligner:
         import duckdb
 
         self.both = ByteLevel(first), Pieces(second)
-        self.lengths = tuple(np.array([len(t.bytes.get(i, b"")) for i in range(max(t.bytes) + 1)], np.int64) for t in self.both)
+        self.pieces = tuple(pa.array([t.bytes.get(i, b"") for i in range(max(t.bytes) + 1)], pa.binary()) for t in self.both)
+        self.lengths = tuple(pc.binary_length(p).to_numpy().astype(np.int64) for p in self.pieces)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": "false"})
 
-    def encoded(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each side the ids of all chunks in turn and how many each chunk has; none where the bytes of a side are not the chunk's.
+    def encoded(self, chunks: list[str], sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all chunks (of ``sizes`` bytes) in turn and how many each has; none where a side's bytes are not the chunk's.
 
         The chunks are encoded as one text, in which they are parted as in their own texts, or one by one if that text changes.
         """
         text = " ".join(chunks)
-        raw, ends = (" " + text).encode(), np.cumsum([1 + len(c.encode()) for c in chunks])
-        out = []
-        for t, lengths in zip(self.both, self.lengths, strict=True):
-            ids = t.ids(text)
-            flat = np.array(ids, np.int64)
+        raw, ends, out = (" " + text).encode(), np.cumsum(1 + sizes), []
+        for t, pieces, lengths in zip(self.both, self.pieces, self.lengths, strict=True):
+            flat = np.array(t.ids(text), np.int64)
             stop = np.cumsum(lengths[flat])
             upto = np.searchsorted(stop, ends, "right")
-            if b"".join(map(t.bytes.__getitem__, ids)) != raw or (stop[upto - 1] != ends).any():
+            if not len(flat) or stop[-1] != len(raw) or not pieces.take(pa.array(flat)).buffers()[2].slice(0, len(raw)).equals(pa.py_buffer(raw)) or (stop[upto - 1] != ends).any():
                 if len(chunks) == 1:
                     return [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
-                each = [self.encoded([c]) for c in chunks]
+                each = [self.encoded([c], sizes[i : i + 1]) for i, c in enumerate(chunks)]
                 return [tuple(np.concatenate([e[side][k] for e in each]) for k in (0, 1)) for side in (0, 1)]
             out.append((flat, np.diff(upto, prepend=0)))
         return out
 
-    def tables(self, chunks: list[str]) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
-        """Interval tables (i, c, id, s, e) of both encodings, all chunks on one line of byte offsets, and tokens by chunk.
+    def tables(self, chunks: pa.Array) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """Interval tables (i, c, id, s, e) of both encodings, all chunks on one line of byte offsets, tokens by chunk, and the order of the chunks.
 
-        Chunks that begin with a space or end with white space must come last; they are encoded by themselves.
+        Chunks that begin or end with a space come last and are encoded by themselves.
         """
-        plain = next((i for i, c in enumerate(chunks) if odd(c)), len(chunks))
-        runs = [chunks[i : min(i + TOGETHER, plain)] for i in range(0, plain, TOGETHER)] + [[c] for c in chunks[plain:]]
-        made = [self.encoded(r) for r in runs]
+        alone = pc.or_(pc.starts_with(chunks, " "), pc.ends_with(chunks, " ")).to_numpy(zero_copy_only=False)
+        order, plain = np.argsort(alone, kind="stable"), len(alone) - int(alone.sum())
+        chunks = chunks.take(pa.array(order))
+        texts, sizes = chunks.to_pylist(), pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = [(i, min(i + TOGETHER, plain)) for i in range(0, plain, TOGETHER)] + [(i, i + 1) for i in range(plain, len(texts))]
+        made = [self.encoded(texts[i:j], sizes[i:j]) for i, j in runs]
         out, counts = [], []
         for side, lengths in enumerate(self.lengths):
             ids, n = (np.concatenate([np.zeros(0, np.int64), *(m[side][k] for m in made)]) for k in (0, 1))
             end = np.cumsum(lengths[ids])
             counts.append(n)
-            out.append(pa.table({"i": np.arange(len(ids)), "c": np.repeat(np.arange(len(n), dtype=np.int32), n), "id": ids.astype(np.int32), "s": end - lengths[ids], "e": end}))
-        return *out, *counts
+            out.append(pa.table({"i": np.arange(len(ids), dtype=np.int32), "c": np.repeat(np.arange(len(n), dtype=np.int32), n), "id": ids.astype(np.int32), "s": end - lengths[ids], "e": end}))
+        return *out, *counts, order
 
     def groups(self, a: pa.Table, b: pa.Table) -> None:
         """Tables ga and gb: the tokens with the number of their group. A group lies between ends that both share."""
@@ -154,21 +155,18 @@ class Aligner:
 
     def overlaps(self, text: str) -> list[tuple[int, int]]:
         """Pairs of token numbers of one text, first and second tokenizer, whose bytes overlap."""
-        chunks = SPLIT.split(text) if text else []
-        a, b, *_ = self.tables(chunks) if not any(map(odd, chunks[:-1])) else self.tables([text])
+        a, b, *_ = self.tables(pa.array([text] if text else [], pa.string()))
         self.groups(a, b)
         return self.db.execute("SELECT a.i, b.i FROM a JOIN b ON a.s < b.e AND b.s < a.e ORDER BY 1, 2").fetchall()
 
     def align(self, texts: list[str | None]) -> dict:
-        """All that a slice keeps, as lists and arrays; see ``FIELDS``."""
+        """All that a slice keeps, as arrays: by document, by document and distinct chunk (from own_from on), by chunk and link, by id pair."""
         db = self.db
         parts = [SPLIT.split(t) if t else [] for t in texts]
         per_doc = np.fromiter(map(len, parts), np.int64, len(parts))
         coded = pa.array([p for some in parts for p in some], pa.string()).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        order = np.argsort(np.fromiter(map(odd, chunks), bool, len(chunks)), kind="stable")
+        a, b, n_a, n_b, order = self.tables(coded.dictionary)
         chunk = np.argsort(order)[coded.indices.to_numpy(zero_copy_only=False)]
-        a, b, n_a, n_b = self.tables([chunks[i] for i in order.tolist()])
         wrong = n_a == 0
         doc = np.repeat(np.arange(len(parts)), per_doc)
         good = np.ones(len(parts), bool)
@@ -189,11 +187,15 @@ FROM (SELECT g, c, id, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT g, id,
         db.execute("CREATE OR REPLACE TEMP TABLE pairs AS SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS p FROM (SELECT DISTINCT a, b FROM linked)")
         links = db.execute("SELECT l.c, t.p, l.n FROM linked l JOIN pairs t ON t.a = l.a AND t.b = l.b ORDER BY l.c").fetchnumpy()
         pairs = db.execute("SELECT a, b FROM pairs ORDER BY p").fetchnumpy()
-        # how many documents have a pair: its pairs with each of their chunks, once each
-        first, last = (np.searchsorted(links["c"], own_chunk, side) for side in ("left", "right"))
-        step = np.arange(int((last - first).sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first)
-        both = np.sort(np.repeat(own, last - first) << 32 | links["p"][step])
-        pair_n = np.bincount((both & 0xFFFFFFFF)[np.diff(both, prepend=-1) > 0], minlength=len(pairs["a"]))
+        # how many documents have a pair: its pairs with each of their chunks, once each, some documents at a time
+        pair_n, bounds = np.zeros(len(pairs["a"]), np.int64), np.searchsorted(own, np.arange(len(parts) + 1))
+        cuts = np.unique(np.append(bounds[np.searchsorted(bounds, np.arange(0, len(own), BLOCK))], len(own)))
+        first, last = (np.searchsorted(links["c"], np.arange(len(n_a)), side) for side in ("left", "right"))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            low, n = first[own_chunk[i:j]], (last - first)[own_chunk[i:j]]
+            step = np.arange(int(n.sum())) + np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both = np.sort(np.repeat(own[i:j], n) << 32 | links["p"][step])
+            pair_n += np.bincount((both & 0xFFFFFFFF)[np.diff(both, prepend=-1) > 0], minlength=len(pair_n))
         n_links = np.zeros(len(n_a), np.int64)
         np.add.at(n_links, links["c"], links["n"])
         offsets = np.searchsorted(doc, np.arange(len(parts) + 1))
@@ -201,7 +203,7 @@ FROM (SELECT g, c, id, count(*) AS n FROM ga GROUP BY ALL) x JOIN (SELECT g, id,
         groups = joined(names.take(pa.array(chunk)), offsets, ";")
         return {
             "n_a": sums(n_a), "n_b": sums(n_b), "n_groups": sums(n_groups), "n_links": sums(n_links), "groups": groups,
-            "own_from": np.searchsorted(own, np.arange(len(parts) + 1)), "own_chunk": own_chunk, "own_times": times,
+            "own_from": bounds, "own_chunk": own_chunk, "own_times": times,
             "link_chunk": links["c"], "link_pair": links["p"], "link_n": links["n"], "pair_a": pairs["a"], "pair_b": pairs["b"], "pair_n": pair_n,
         }
 
@@ -215,16 +217,21 @@ def aligner(first: str, second: str) -> Aligner:
     return _ALIGNERS[first, second]
 
 
-#: A slice's row: by document, by document and distinct chunk (from own_from on), by chunk and link, by id pair.
-FIELDS = {
-    "doc": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "sha": "string", "groups": "string",
-    "own_from": "int", "own_chunk": "int", "own_times": "int", "link_chunk": "int", "link_pair": "int", "link_n": "bigint", "pair_a": "int", "pair_b": "int", "pair_n": "bigint",
-}
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+#: A slice's rows: its documents (kind 0), its id pairs (kind 1), and one (kind 2) whose bytes say which links its documents have.
+ROWS = "slice bigint, kind int, p int, a bigint, b bigint, n bigint, c bigint, d bigint, sha string, groups string, raw binary"
+DOCUMENT, PAIR, LINKS = 0, 1, 2
+INNER = ("own_from", "own_chunk", "own_times", "link_chunk", "link_pair", "link_n")
 
 
 def aligned_slices(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, keep: bool) -> DataFrame:
-    """One row a slice of documents, with the fields of ``FIELDS`` as arrays."""
+    """The rows of slices of documents, see ``ROWS``."""
+    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.string(), pa.string(), pa.binary()]
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def rows(number: int, kind: int, count: int, **cols) -> pa.RecordBatch:
+        cols |= {"slice": np.full(count, number), "kind": np.full(count, kind)}
+        made = [cols.get(c, pa.nulls(count, t)) for c, t in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names)
 
     @lean
     def run(batches):
@@ -235,25 +242,33 @@ def aligned_slices(docs: DataFrame, first: str, second: str, id_col: str, text_c
             for part in slices(batch, 1, SLICE):
                 if not part.num_rows:
                     continue
-                found = al.align(part.column(1).to_pylist())
-                found |= {"doc": part.column(0), "sha": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"].to_pylist()]}
-                if not keep:
-                    found["groups"] = []
-                cols = [pa.array([number], pa.int64())]
-                for name, kind in FIELDS.items():
-                    flat = found[name] if isinstance(found[name], pa.Array) else pa.array(found[name], _ARROW[kind])
-                    cols.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
-                yield pa.RecordBatch.from_arrays(cols, names=["slice", *FIELDS])
+                f, n = al.align(part.column(1).to_pylist()), part.num_rows
+                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in f["groups"].to_pylist()]
+                yield rows(number, DOCUMENT, n, p=np.arange(n), a=part.column(0), b=f["n_a"], n=f["n_b"], c=f["n_groups"], d=f["n_links"], sha=sha, **({"groups": f["groups"]} if keep else {}))
+                pairs = len(f["pair_a"])
+                for i in range(0, pairs, PAIRS):
+                    j = min(i + PAIRS, pairs)
+                    yield rows(number, PAIR, j - i, p=np.arange(i, j), a=f["pair_a"][i:j].astype(np.int64), b=f["pair_b"][i:j].astype(np.int64), n=f["pair_n"][i:j])
+                inner = [np.asarray(f[c]).astype("<i8" if c == "link_n" else "<i4") for c in INNER]
+                yield rows(number, LINKS, 1, p=[pairs], raw=[zlib.compress(b"".join([np.array([len(x) for x in inner], "<i8").tobytes(), *(x.tobytes() for x in inner)]), 1)])
+                del f, inner
                 number += 1
 
-    schema = "slice bigint, " + ", ".join(f"{n} array<{k}>" for n, k in FIELDS.items())
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).transform(in_arrow, run, schema)
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).transform(in_arrow, run, ROWS)
+
+
+def inner_of(raw: bytes) -> dict[str, np.ndarray]:
+    data, at, out = zlib.decompress(raw), 8 * len(INNER), {}
+    for name, n in zip(INNER, np.frombuffer(data, "<i8", len(INNER)).tolist(), strict=True):
+        kind = np.dtype("<i8" if name == "link_n" else "<i4")
+        out[name] = np.frombuffer(data, kind, n, at).astype(np.int64)
+        at += n * kind.itemsize
+    return out
 
 
 def pair_counts(cut: DataFrame) -> DataFrame:
     """(a, b, n, best) of all id pairs: how many documents link them, and whether no pair of the same first id has more."""
-    each = cut.select(F.explode(F.arrays_zip("pair_a", "pair_b", "pair_n")).alias("p")).groupBy(F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b")).agg(F.sum("p.pair_n").alias("n"))
-    each = stored(each, "pairs")
+    each = stored(cut.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     top = each.groupBy("a").agg(F.max("n").alias("top"))
     return each.join(top, "a").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
 
@@ -269,26 +284,22 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     """
     cut = stored(aligned_slices(docs, first, second, id_col, text_col, keep), "aligned")
     counts = pair_counts(cut)
-    asked = cut.select(F.col("slice").alias("to"), F.posexplode(F.arrays_zip("pair_a", "pair_b")).alias("p", "ids")).select("to", "p", F.col("ids.pair_a").alias("a"), F.col("ids.pair_b").alias("b"))
-    given = asked.join(counts, ["a", "b"]).select("to", "p", "n", "best")
+    asked = cut.where(F.col("kind") == PAIR).select(F.col("slice").alias("to"), F.col("p").alias("place"), "a", "b")
+    given = asked.join(counts, ["a", "b"]).select("to", "place", "n", "best")
     names = (id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups")
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {n: left.column(n).combine_chunks().flatten() for n in left.column_names if n != "slice"}
-        whole = lambda n: row[n].to_numpy(zero_copy_only=False).astype(np.int64)
-        pairs = len(row["pair_a"])
-        n, best, at = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64), right.column("p").to_numpy().astype(np.int64)
-        n[at], best[at] = right.column("n").to_numpy(), right.column("best").to_numpy(zero_copy_only=False).astype(np.int64)
-        chunk, pair, times = whole("link_chunk"), whole("link_pair"), whole("link_n")
-        own, start, k = whole("own_chunk"), whole("own_from"), whole("own_times")
-
-        def total(value: np.ndarray) -> np.ndarray:
-            by_chunk = np.zeros(max(own.max(initial=-1), chunk.max(initial=-1)) + 1, np.int64)
-            np.add.at(by_chunk, chunk, times * value[pair])
-            return np.diff(np.concatenate([[0], np.cumsum(by_chunk[own] * k)])[start])
-
-        groups = row["groups"] if keep else pa.nulls(len(row["doc"]), pa.string())
-        return pa.table([row["doc"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], pa.array(total(best)), pa.array(total(n)), row["sha"], groups], names=names)
+        links, rows = left.filter(pc.equal(left["kind"], LINKS)), left.filter(pc.equal(left["kind"], DOCUMENT)).sort_by("p")
+        f, pairs = inner_of(links["raw"][0].as_py()), links["p"][0].as_py()
+        n, best, at = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64), right["place"].to_numpy()
+        n[at], best[at] = right["n"].to_numpy(), right["best"].to_numpy(zero_copy_only=False)
+
+        def total(value: np.ndarray) -> pa.Array:
+            by_chunk = np.zeros(max(f["own_chunk"].max(initial=-1), f["link_chunk"].max(initial=-1)) + 1, np.int64)
+            np.add.at(by_chunk, f["link_chunk"], f["link_n"] * value[f["link_pair"]])
+            return pa.array(np.diff(np.concatenate([[0], np.cumsum(by_chunk[f["own_chunk"]] * f["own_times"])])[f["own_from"]]))
+
+        return pa.table([*(rows[c] for c in ("a", "b", "n", "c", "d")), total(best), total(n), rows["sha"], rows["groups"]], names=names)
 
     schema = f"{id_col} bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, groups string"
-    return cut.drop("pair_n", "pair_b").groupBy("slice").cogroup(given.groupBy("to")).applyInArrow(finish, schema)
+    return cut.where(F.col("kind") != PAIR).groupBy("slice").cogroup(given.groupBy("to")).applyInArrow(finish, schema)
