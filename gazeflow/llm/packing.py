@@ -22,8 +22,8 @@ from .arrow import in_arrow, lean, map_rows, slices
 from .tokens import WORD, PrefixCounter
 
 ODD = re.compile("[\x1c-\x1f]")
-#: Distinct chunks in a generation of those whose ids a worker keeps, and bytes of text that are encoded at once.
-CACHE, SLICE = 300_000, 2 << 20
+#: Distinct chunks in a generation of those whose ids a worker keeps (and words), and bytes of text that are encoded at once.
+CACHE, SLICE = 500_000, 2 << 20
 
 
 class ChunkEncoder:
@@ -72,7 +72,9 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if not ODD.search(t) else [p for p in regex.split(r"\p{White_Space}+", t) if p] for t in texts]
         if len(self.known) > CACHE:  # what is met again moves from the older generation to the younger, so frequent chunks stay
-            self.before, self.known, self.words = self.known, {}, {}
+            self.before, self.known = self.known, {}
+            if len(self.words) > CACHE:
+                self.words = {}
         known, before = self.known, self.before
         new = []
         for c in set().union(*split).difference(known):
