@@ -23,65 +23,64 @@ def inpaint(image: np.ndarray, mask: np.ndarray, radius: int = 5) -> np.ndarray:
     ``radius``, each continued along its gradient. Weights favour the direction of the distance's change, near pixels and
     those at the same distance to the rim. Without any known pixel the image stays as it is.
     """
-    h, w = image.shape
-    value, known = image.astype(float), ~mask.astype(bool)
-    if known.all() or not known.any():
+    mask = mask.astype(bool)
+    if mask.all() or not mask.any():
         return image.copy()
-    far = np.where(known, 0.0, FAR)
-    fixed = known.copy()
-    inside = lambda y, x: 0 <= y < h and 0 <= x < w
-    ring = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if (dy or dx) and dy * dy + dx * dx <= radius * radius]
-
-    def distance(y: int, x: int) -> float:
-        """From the fixed neighbours across and along: the solution of |grad T| = 1 on the grid."""
-        a = min(far[y, x + d] if inside(y, x + d) and fixed[y, x + d] else FAR for d in (-1, 1))
-        b = min(far[y + d, x] if inside(y + d, x) and fixed[y + d, x] else FAR for d in (-1, 1))
-        return (a + b + math.sqrt(2 - (a - b) ** 2)) / 2 if abs(a - b) < 1 else 1 + min(a, b)
-
-    def slope(of: np.ndarray, ok: np.ndarray, y: int, x: int) -> tuple[float, float]:
-        """Change of ``of`` downwards and to the right, from those neighbours that are ``ok``."""
+    r, (h, w) = radius + 1, image.shape
+    value, known = np.pad(image.astype(float), r), np.pad(~mask, r)  # nothing is known outside
+    inside = np.pad(np.ones((h, w), bool), r)
+    far, fixed = np.where(known, 0.0, FAR), known.copy()
+    dy, dx = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    size = (dy * dy + dx * dx).astype(float)
+    ring = (size > 0) & (size <= radius * radius)
+    size[radius, radius] = 1.0
+    down, right = np.zeros_like(value), np.zeros_like(value)
+    queue: list[tuple[float, int, int]] = []
+
+    def slope(of: np.ndarray, ok: np.ndarray, y, x) -> tuple:
+        """Change of ``of`` downwards and to the right, from those neighbours that are ``ok``, at one place or many."""
         out = []
-        for dy, dx in ((1, 0), (0, 1)):
-            after = inside(y + dy, x + dx) and ok[y + dy, x + dx]
-            before = inside(y - dy, x - dx) and ok[y - dy, x - dx]
-            high = of[y + dy, x + dx] if after else of[y, x]
-            low = of[y - dy, x - dx] if before else of[y, x]
-            out.append((high - low) / max(1, after + before))
-        return out[0], out[1]
+        for ey, ex in ((1, 0), (0, 1)):
+            after, before = ok[y + ey, x + ex], ok[y - ey, x - ex]
+            high, low = np.where(after, of[y + ey, x + ex], of[y, x]), np.where(before, of[y - ey, x - ex], of[y, x])
+            out.append((high - low) / np.maximum(1, after.astype(int) + before))
+        return tuple(out)
 
-    queue: list[tuple[float, int, int]] = []
+    def tell(places: list[tuple[int, int]]) -> None:
+        """Gradients of known pixels whose surroundings have changed."""
+        y, x = np.array(places).T
+        down[y, x], right[y, x] = slope(value, known, y, x)
 
     def open_around(y: int, x: int) -> None:
-        for dy, dx in ((-1, 0), (0, -1), (0, 1), (1, 0)):
-            a, b = y + dy, x + dx
-            if inside(a, b) and not fixed[a, b] and (t := distance(a, b)) < far[a, b]:
-                far[a, b] = t
-                heapq.heappush(queue, (t, a, b))
-
-    for y, x in np.argwhere(known).tolist():
+        """Distances of the open neighbours, from what is fixed across and along: |grad T| = 1 on the grid."""
+        for a, b in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if inside[a, b] and not fixed[a, b]:
+                p, q = (min(far[i, j] if fixed[i, j] else FAR for i, j in two) for two in (((a, b - 1), (a, b + 1)), ((a - 1, b), (a + 1, b))))
+                t = (p + q + math.sqrt(2 - (p - q) ** 2)) / 2 if abs(p - q) < 1 else 1 + min(p, q)
+                if t < far[a, b]:
+                    far[a, b] = t
+                    heapq.heappush(queue, (float(t), a, b))
+
+    tell(np.argwhere(known).tolist())
+    rim = known & (shifted((inside & ~known)[None], 0, 1, 0) | shifted((inside & ~known)[None], 0, -1, 0) | shifted((inside & ~known)[None], 1, 0, 0) | shifted((inside & ~known)[None], -1, 0, 0))[0]
+    for y, x in np.argwhere(rim).tolist():
         open_around(y, x)
     while queue:
         t, y, x = heapq.heappop(queue)
         if fixed[y, x] or t > far[y, x]:
             continue
+        at = np.s_[y - radius : y + radius + 1, x - radius : x + radius + 1]
         ty, tx = slope(far, far < FAR, y, x)
-        total = weight = 0.0
-        for dy, dx in ring:
-            a, b = y + dy, x + dx
-            if inside(a, b) and known[a, b]:
-                size = dy * dy + dx * dx
-                along = abs(dy * ty + dx * tx) / math.sqrt(size)
-                k = max(along, 1e-6) / size / (1 + abs(far[a, b] - far[y, x]))
-                gy, gx = slope(value, known, a, b)
-                total += k * (value[a, b] - gy * dy - gx * dx)
-                weight += k
-        if weight:
-            near = [value[y + dy, x + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if inside(y + dy, x + dx) and known[y + dy, x + dx]]
-            low, top = (min(near), max(near)) if near else (0.0, 255.0)
-            value[y, x] = min(max(total / weight, low), top)  # no continued gradient leaves the range beside it
+        k = np.where(ring & known[at], np.maximum(np.abs(dy * ty + dx * tx) / np.sqrt(size), 1e-6) / size / (1 + np.abs(far[at] - t)), 0.0)
+        if (weight := k.sum()) > 0:
+            filled = (k * (value[at] - down[at] * dy - right[at] * dx)).sum() / weight
+            beside = value[y - 1 : y + 2, x - 1 : x + 2][known[y - 1 : y + 2, x - 1 : x + 2]]
+            # no continued gradient leaves the range beside the pixel
+            value[y, x] = filled.clip(beside.min(), beside.max()) if len(beside) else filled.clip(0, 255)
         fixed[y, x] = known[y, x] = True
+        tell([p for p in ((y, x), (y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)) if known[p]])
         open_around(y, x)
-    return np.floor(np.round(value, 6) + 0.5).clip(0, 255).astype(np.uint8)
+    return np.floor(np.round(value[r:-r, r:-r], 6) + 0.5).clip(0, 255).astype(np.uint8)
 
 
 def glare_mask(image: np.ndarray, threshold: int = 235, grow: int = 3) -> np.ndarray:

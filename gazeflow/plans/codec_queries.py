@@ -90,3 +90,11 @@ s AS (SELECT img, quality, a / 49 AS ma, b / 49 AS mb, (aa / 49 - (a / 49) * (a
 ssim AS (SELECT img, quality, avg((2 * ma * mb + 6.5025::DOUBLE) * (2 * cov + 58.5225::DOUBLE) / ((ma * ma + mb * mb + 6.5025::DOUBLE) * (va + vb + 58.5225::DOUBLE))) AS ssim FROM s GROUP BY img, quality)"""
 QUERIES["jpeg_quality_sweep"], ORACLE_SQL["jpeg_quality_sweep"] = by_quality, f"""WITH {_COEFFICIENTS}, {_BITS}, {_BACK}, {_ERROR}, {_SSIM} SELECT f.quality, count(*) AS n, round(avg(n_bytes), 4) AS mean_bytes, round(avg(n_bytes / 512), 6) AS mean_bpp, round(avg(n_bytes) / 1024, 6) AS mean_kb,
 round(avg(10 * log10(65025 / mse)) FILTER (mse > 0), 4) AS mean_psnr, round(avg(ssim), 5) AS mean_ssim, round(avg(n_bytes) / 1024 * 30, 4) AS kb_per_s FROM file f JOIN error e ON e.img = f.img AND e.quality = f.quality JOIN ssim s ON s.img = f.img AND s.quality = f.quality GROUP BY f.quality"""
+
+
+def bandwidth(spark: SparkSession, sf_dir: str, fps: int = 30) -> DataFrame:
+    """Kilobytes a second that frames of each quality take."""
+    return by_quality(spark, sf_dir).select("quality", F.round(F.col("mean_kb") * fps, 4).alias("kb_per_s"))
+
+
+QUERIES["bandwidth"], ORACLE_SQL["bandwidth"] = bandwidth, f"SELECT quality, round(mean_kb * 30, 4) AS kb_per_s FROM ({ORACLE_SQL['jpeg_quality_sweep']}) q"

@@ -11,8 +11,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import packed
+from ..operators import eyes, frames, packed
+from ..session import stored
 from ..sources.tables import table
+from ..streaming.eyes import eye_alerts, eye_sequence
 from ..streaming.vigilance import stream_calibration, stream_perclos
 from . import vigilance_queries
 
@@ -133,11 +135,26 @@ def test_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eye_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texture and shape features of synthetic eyes, as many as there are vectors: mean by state."""
-    n = table(spark, sf_dir, "embeddings").count()
-    f = packed.features(packed.synthetic_eyes(spark, n))
+    """Texture and shape features of the 8 x 8 images, brought to 64 x 64: mean by state."""
+    f = packed.features(frames.small_images(spark, sf_dir).withColumn("eye_state", (F.col("label") % 2).cast("int")))
     return f.groupBy("eye_state").agg(F.count("*").alias("n"), F.count("error").alias("n_errors"), F.round(F.avg(F.col("shape")["eccentricity"]), 4).alias("eccentricity"), F.round(F.avg(F.col("shape")["extent"]), 4).alias("extent"), F.round(F.avg(F.size("hog")), 1).alias("hog_width"))
 
 
-QUERIES = {f.__name__: f for f in (model_search, family_ablation, calibrated_scores, test_evaluation, eye_features, stream_perclos, stream_calibration)}
+def eye_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of a kernel machine on the last two sessions' frames for each combination of real feature families, fitted on the others."""
+    files = stored(eye_sequence(spark, sf_dir), "files")
+    out = None
+    sets = {f: stored(eyes.vectors(files, ("session", "frame", "is_open"), (f,)), f"family_{f}") for f in eyes.FAMILIES}
+    for combination in COMBINATIONS:
+        rows = sets[combination[0]].select("session", "frame", "is_open", "x")
+        for f in combination[1:]:
+            rows = rows.join(sets[f].select("frame", F.col("x").alias("more")), "frame").select("session", "frame", "is_open", F.concat("x", "more").alias("x"))
+        machine = spark.sparkContext.broadcast(eyes.fitted(rows.where("session < 3"), "frame", "is_open"))
+        test = rows.where("session >= 3").select("is_open", eyes.probability(machine)("x").alias("p"))
+        one = test.agg(F.lit("+".join(combination)).alias("families"), F.count("*").alias("n"), F.round(F.avg(((F.col("p") >= 0.5) == F.col("is_open")).cast("int")), 6).alias("accuracy"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (eye_alerts, eye_families, model_search, family_ablation, calibrated_scores, test_evaluation, eye_features, stream_perclos, stream_calibration)}
 ORACLE_SQL = {"stream_perclos": "SELECT session, frame, perclos, n, alert FROM (" + vigilance_queries.ORACLE_SQL["perclos_alerts"] + ") t", "stream_calibration": vigilance_queries.ORACLE_SQL["ear_calibration"]}

@@ -71,7 +71,6 @@ a AS (SELECT score, round(CAST(below + p - lost AS DOUBLE) / total, 6) AS acc FR
     "file_ratio": """SELECT doc_id, n_chars, octet_length(text) AS n_bytes, round(CAST(octet_length(text) AS DOUBLE) / greatest(n_chars, 1), 4) AS ratio FROM {documents}""",
     "condition_filter": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM {lineitem} WHERE l_returnflag = 'R' AND l_discount BETWEEN 0.05D AND 0.07D AND l_quantity < 24""",
     "size_picks": """WITH o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS k, count(*) OVER () AS n FROM {documents}) SELECT doc_id, n_chars FROM o WHERE k = 1 OR k = n OR k = CAST(floor(n / 2.0D) AS BIGINT) + 1""",
-    "bandwidth": """SELECT quality, round(kb * fps, 6) AS kb_per_s FROM (VALUES (60, 0.811D, 30), (90, 1.562D, 30), (5, 0.402D, 25)) v(quality, kb, fps)""",
 }
 
 

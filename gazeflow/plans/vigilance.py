@@ -94,11 +94,10 @@ def calibrated(frames: DataFrame, samples: int = 10, percentile: float = 0.9, ra
     return numbered.join(first.select("session", threshold.alias("threshold")), "session").select("session", "frame", "rn", F.when(ready, F.col("threshold")).alias("threshold"), F.when(ready, F.col("ear") < F.col("threshold")).alias("closed_by_ear"))
 
 
-def synthetic_session(spark, plan: list[tuple[str, float, bool]], fps: float) -> DataFrame:
-    """Frames of a session plan of (state, seconds, closed): frame, ts_s (4 decimals), state, closed."""
-    segments = spark.createDataFrame([(i, *p) for i, p in enumerate(plan)], "i int, state string, seconds double, closed boolean")
+def laid_out(plan: DataFrame, fps: float) -> DataFrame:
+    """Frames of session plans (session, i, state, seconds, closed): frame, ts_s (4 decimals), state, closed. A segment has a frame at least."""
     n = F.greatest(F.lit(1), F.bround(F.col("seconds") * fps).cast("int"))
-    w = Window.orderBy("i")  # a plan has a few segments
-    laid = segments.withColumn("n", n).withColumn("start", F.sum("n").over(w) - F.col("n"))
-    out = laid.select("state", "closed", F.explode(F.expr("sequence(start, start + n - 1)")).alias("frame"))
-    return out.select(F.col("frame").cast("long"), F.round(F.col("frame") / fps, 4).alias("ts_s"), "state", "closed")
+    w = Window.partitionBy("session").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    laid = plan.withColumn("n", n).withColumn("start", F.sum("n").over(w) - F.col("n"))
+    out = laid.select("session", "state", "closed", F.explode(F.expr("sequence(start, start + n - 1)")).alias("frame"))
+    return out.select("session", F.col("frame").cast("long"), F.round(F.col("frame") / fps, 4).alias("ts_s"), "state", "closed")

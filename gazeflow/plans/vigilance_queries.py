@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import frames
+from ..sources.tables import frames, table
 from . import vigilance
 
 _ROLL = """r AS (SELECT user_id AS session, event_id AS frame, ts, avg((event_type = 'error')::INT) OVER w AS perclos, count(*) OVER w AS n,
@@ -20,8 +20,7 @@ _FSM = f"""{_ROLL}, f AS (
 _CAL = """n AS (SELECT user_id AS session, event_id AS frame, value AS ear, event_type = 'error' AS closed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 c AS (SELECT session, CASE WHEN count(*) < 3 THEN 0.2 ELSE quantile_cont(ear, 0.9) * 0.75 END AS threshold FROM n WHERE rn <= 10 GROUP BY session),
 k AS (SELECT n.session, frame, closed, rn, CASE WHEN rn >= 10 THEN threshold END AS threshold, CASE WHEN rn >= 10 THEN ear < threshold END AS closed_by_ear FROM n JOIN c ON c.session = n.session)"""
-#: The authored session: alert stretches with blinks, then two long closures.
-PLAN = [("alert", 4.0, False), ("blink", 0.2, True), ("alert", 5.0, False), ("microsleep", 6.0, True), ("alert", 8.0, False), ("blink", 0.4, True), ("alert", 3.0, False)]
+
 
 
 def perclos_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +50,11 @@ def tracker_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vigilance.synthetic_session(spark, PLAN, 10.0)
+    """Each session's events as the segments of a plan, a tenth to six tenths of a second long each and a little more."""
+    e = table(spark, sf_dir, "events")
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    plan = e.select(F.col("user_id").alias("session"), order.alias("i"), F.col("event_type").alias("state"), ((F.col("event_id") % 6) * 0.125).alias("seconds"), (F.col("event_type") == "error").alias("closed"))
+    return vigilance.laid_out(plan, 10.0)
 
 
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +86,8 @@ ORACLE_SQL = {
 SELECT session, min(ts) AS start, max(ts) AS "end", count(*) AS frames FROM i WHERE closed GROUP BY session, run""",
     "ear_calibration": f"WITH {_CAL} SELECT session, frame, round(threshold, 6) AS threshold, closed_by_ear FROM k",
     "tracker_agreement": f"WITH {_CAL} SELECT session, count(*) AS n, round(avg((closed = closed_by_ear)::INT), 6) AS agreement FROM k WHERE closed_by_ear IS NOT NULL GROUP BY session",
-    "session_synthesis": "WITH p(i, state, n, closed) AS (VALUES " + ", ".join(f"({i}, '{s}', {max(1, round(t * 10))}, {str(c).lower()})" for i, (s, t, c) in enumerate(PLAN)) + "), o AS (SELECT *, sum(n) OVER (ORDER BY i) - n AS start FROM p) SELECT CAST(start + k AS BIGINT) AS frame, round((start + k)::DOUBLE / 10, 4) AS ts_s, state, closed FROM o, range(0, 1000) r(k) WHERE k < n",
+    "session_synthesis": """WITH p AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type AS state, CAST(greatest(1, round_even(event_id % 6 * 1.25::DOUBLE, 0)) AS INT) AS n, event_type = 'error' AS closed FROM events),
+o AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY i) - n AS start FROM p) SELECT session, CAST(start + k AS BIGINT) AS frame, round((start + k)::DOUBLE / 10, 4) AS ts_s, state, closed FROM o, range(0, 7) r(k) WHERE k < n""",
     "session_windows": """WITH g AS (SELECT user_id AS session, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 DAY, true) AS cut FROM events),
 i AS (SELECT session, ts, sum(cut::INT) OVER (PARTITION BY session ORDER BY ts) AS w FROM g) SELECT session, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM i GROUP BY session, w""",
     "closed_per_day": "SELECT user_id AS session, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_closed FROM events GROUP BY 1, 2",
