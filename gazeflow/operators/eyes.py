@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,6 @@ def predict(data: bytes, machine: str, families: tuple[str, ...] = FAMILIES) ->
 
 def probability(machine):
     """A vectorised function from feature arrays to the probability of an open eye, by a broadcast machine's text."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def p_open(x: pd.Series) -> pd.Series:
