@@ -49,6 +49,6 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
