@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grids import element
-from . import filters, inpaint, jpeg, kernel, packed, regions, spectra
+from ..session import in_arrow
+from . import filters, frames, inpaint, jpeg, kernel, packed, regions, spectra
 
 FAMILIES = ("morph", "transform", "hog", "lbp")
 #: Machines by their text, loaded once in each worker.
@@ -130,18 +131,30 @@ def vectors(files: DataFrame, keys: tuple[str, ...], families: tuple[str, ...] =
     schema = ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", x array<double>, error string"
 
     def run(batches):
-        for batch in batches:
+        for batch in frames.parts(batches):
             found = featured(batch.column(len(keys)).to_pylist(), families)
             errors = [str(x)[:200] if isinstance(x, ValueError) else None for x in found]
             xs = [None if isinstance(x, ValueError) else x.tolist() for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(xs, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=[*keys, "x", "error"])
 
-    return files.select(*keys, F.col(content)).mapInArrow(run, schema)
+    return in_arrow(files.select(*keys, F.col(content)), run, schema)
 
 
-def fitted(rows: DataFrame, key: str, label: str, most: int = 1000, **options) -> str:
-    """The text of a machine fitted on (key, x, label): at most ``most`` rows, those with the least hashes of their keys."""
-    some = rows.where(F.col("x").isNotNull() & F.col(label).isNotNull()).select("x", label, F.md5(F.col(key).cast("string")).alias("h")).orderBy("h").limit(most).collect()
+def fitted(rows: DataFrame, key: str, label: str, most: int = 1000, features=None, **options) -> str:
+    """The text of a machine fitted on (key, x, label): at most ``most`` rows, those with the least hashes of their keys.
+
+    ``features`` makes rows with x of rows without; it then sees little more than the rows that are fitted on. Hashes are cut
+    off where about twice as many rows are left, so that the driver gets no more than these from however many partitions.
+    """
+    h = F.md5(F.col(key).cast("string"))
+    share = 2 * most / max(1, rows.where(F.col(label).isNotNull()).count())
+    while True:
+        part = rows if share >= 1 else rows.where(h < f"{int(share * 16**8):08x}")
+        part = features(part) if features else part
+        some = part.where(F.col("x").isNotNull() & F.col(label).isNotNull()).select("x", label, h.alias("h")).orderBy("h").limit(most).collect()
+        if share >= 1 or len(some) == most:
+            break
+        share *= 4
     return kernel.fit(np.array([r[0] for r in some]), np.array([bool(r[1]) for r in some]), **options).dumped()
 
 
@@ -154,7 +167,7 @@ def predictions(files: DataFrame, machine: str, keys: tuple[str, ...], families:
     schema = ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", closed boolean, p_open double, error string"
 
     def run(batches):
-        for batch in batches:
+        for batch in frames.parts(batches):
             out = []
             for x in featured(batch.column(len(keys)).to_pylist(), families):
                 p = None if isinstance(x, ValueError) else float(machine_of(shared.value).probabilities(x[None])[0])
@@ -162,4 +175,4 @@ def predictions(files: DataFrame, machine: str, keys: tuple[str, ...], families:
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.float64(), pa.string()), strict=True))], names=[*keys, "closed", "p_open", "error"])
 
-    return files.select(*keys, F.col(content)).mapInArrow(run, schema)
+    return in_arrow(files.select(*keys, F.col(content)), run, schema)

@@ -9,22 +9,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import in_arrow
 from ..sources.tables import images
 
 #: Tiles along a side of a mosaic.
 MOSAIC = 8
+#: Pixels of a stack, and rows of image files, that are handled at once: working memory does not grow with Arrow's batches.
+PIXELS, ROWS = 1 << 18, 64
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into at most so many rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def stacks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions of the rows, images as n x h x w bytes) for each size of a batch's images; a row whose bytes don't fit its size is an error."""
+    """(positions of the rows, images as n x h x w bytes) for each size of a batch's images, at most ``PIXELS`` in a stack; a row whose bytes don't fit its size is an error."""
     h, w = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "w"))
     data = batch.column(batch.schema.get_field_index("data"))
     for size in sorted(set(zip(h.tolist(), w.tolist(), strict=True))):
-        at = np.flatnonzero((h == size[0]) & (w == size[1]))
-        raw = b"".join(data[int(i)].as_py() for i in at)
-        if len(raw) != len(at) * size[0] * size[1]:
-            raise ValueError(f"an image of {size[0]} x {size[1]} has another number of bytes")
-        yield at, np.frombuffer(raw, np.uint8).reshape(len(at), *size)
+        alike = np.flatnonzero((h == size[0]) & (w == size[1]))
+        step = max(1, PIXELS // max(1, size[0] * size[1]))
+        for at in (alike[i : i + step] for i in range(0, len(alike), step)):
+            raw = b"".join(data[int(i)].as_py() for i in at)
+            if len(raw) != len(at) * size[0] * size[1]:
+                raise ValueError(f"an image of {size[0]} x {size[1]} has another number of bytes")
+            yield at, np.frombuffer(raw, np.uint8).reshape(len(at), *size)
 
 
 def mapped(df: DataFrame, f: Callable[[np.ndarray], dict[str, list | np.ndarray]], schema: str, keys: tuple[str, ...] = ("img",)) -> DataFrame:
@@ -44,7 +56,7 @@ def mapped(df: DataFrame, f: Callable[[np.ndarray], dict[str, list | np.ndarray]
                 cols += [made[n] if isinstance(made[n], pa.Array) else pa.array(made[n], own.field(n).type) for n in own.names]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, *own.names])
 
-    return kept.mapInArrow(run, whole)
+    return in_arrow(kept, run, whole)
 
 
 def exploded(df: DataFrame, f: Callable[[np.ndarray], tuple[np.ndarray, dict[str, np.ndarray]]], schema: str, keys: tuple[str, ...] = ("img",)) -> DataFrame:
@@ -64,7 +76,7 @@ def exploded(df: DataFrame, f: Callable[[np.ndarray], tuple[np.ndarray, dict[str
                 cols += [pa.array(made[n], own.field(n).type) for n in own.names]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keys, *own.names])
 
-    return kept.mapInArrow(run, whole)
+    return in_arrow(kept, run, whole)
 
 
 def packed(df: DataFrame) -> DataFrame:
@@ -83,7 +95,7 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = MOSAIC * 8
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for tiles in batch.column(2).to_pylist():
                 whole = np.full((MOSAIC, 8, MOSAIC, 8), 128, np.uint8)
@@ -97,7 +109,8 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = images(spark, sf_dir)
     kind = dict(rows.dtypes)["label"]
     rows = rows.select(F.floor(F.col("img") / n).alias("img"), "label", F.struct((F.col("img") % n).cast("int").alias("tile"), "g").alias("t"))
-    return rows.groupBy("img").agg(F.min_by("label", "t.tile").alias("label"), F.collect_list("t").alias("tiles")).mapInArrow(run, f"img long, label {kind}, h int, w int, data binary")
+    whole = rows.groupBy("img").agg(F.min_by("label", "t.tile").alias("label"), F.collect_list("t").alias("tiles"))
+    return in_arrow(whole, run, f"img long, label {kind}, h int, w int, data binary")
 
 
 def pixel_rows(df: DataFrame, image: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import eyes, frames, inpaint, jpeg
 from ..plans.vigilance import AlertConfig, alerts
-from ..session import stored
+from ..session import in_arrow, stored
 from .vigilance import OUTPUT, Tracker
 
 SECOND = 1_000_000
@@ -94,19 +94,17 @@ def eye_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings as JPEG files of 64 x 64: (session, frame, micros, is_open, content); ten frames a second, five sessions."""
 
     def run(batches):
-        for batch in batches:
+        for batch in frames.parts(batches):
             big = [inpaint.resized(np.frombuffer(g, np.uint8).reshape(8, 8), 64, 64) for g in batch.column(4).to_pylist()]
             out = jpeg.encode(np.stack(big), 90)[0] if big else []
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["session", "frame", "micros", "is_open", "content"])
 
     rows = frames.small_images(spark, sf_dir).select((F.col("img") % 5).alias("session"), F.col("img").alias("frame"), (F.floor(F.col("img") / 5) * 100_000).alias("micros"), (F.col("label") % 2 == 1).alias("is_open"), "data")
-    return rows.mapInArrow(run, "session long, frame long, micros long, is_open boolean, content binary")
+    return in_arrow(rows, run, "session long, frame long, micros long, is_open boolean, content binary")
 
 
 def eye_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A machine is fitted on the first three sessions' frames; all frames are classified and tracked."""
     files = stored(eye_sequence(spark, sf_dir), "files")
-    known = files.where("session < 3")
-    labelled = eyes.vectors(known, ("session", "frame", "micros")).join(known.select("frame", "is_open"), "frame")
-    machine = eyes.fitted(labelled, "frame", "is_open")
+    machine = eyes.fitted(files.where("session < 3"), "frame", "is_open", features=lambda some: eyes.vectors(some, ("frame", "is_open")))
     return alert_table(files, machine).select("session", "frame", F.round("perclos", 6).alias("perclos"), "n", "alert")
