@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import in_arrow
@@ -79,10 +79,14 @@ def exploded(df: DataFrame, f: Callable[[np.ndarray], tuple[np.ndarray, dict[str
     return in_arrow(kept, run, whole)
 
 
+def hexed(g: str) -> Column:
+    """Two hex digits for each whole number of an array."""
+    return F.array_join(F.transform(g, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")
+
+
 def packed(df: DataFrame) -> DataFrame:
     """(img, label, h, w, data) of images (img, label, g) whose pixels are arrays of 64 whole numbers."""
-    bytes_ = F.unhex(F.array_join(F.transform("g", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
-    return df.select("img", "label", F.lit(8).alias("h"), F.lit(8).alias("w"), bytes_.alias("data"))
+    return df.select("img", "label", F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(hexed("g")).alias("data"))
 
 
 def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,26 +95,21 @@ def small_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, label, h, w, data): images of 64 x 64 made of up to 64 embeddings with following ids, as 8 x 8 tiles; a missing tile is 128. The label is the first tile's."""
-    side = MOSAIC * 8
+    """(img, label, h, w, data): images of 64 x 64 made of up to 64 embeddings with following ids, as 8 x 8 tiles; a missing tile is 128. The label is the first tile's.
 
-    def run(batches):
-        for batch in parts(batches):
-            out = []
-            for tiles in batch.column(2).to_pylist():
-                whole = np.full((MOSAIC, 8, MOSAIC, 8), 128, np.uint8)
-                for t in tiles:
-                    whole[t["tile"] // MOSAIC, :, t["tile"] % MOSAIC, :] = np.array(t["g"]).reshape(8, 8)
-                out.append(whole.tobytes())
-            size = pa.array([side] * len(out), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, size, pa.array(out, pa.binary())], names=["img", "label", "h", "w", "data"])
-
-    n = MOSAIC * MOSAIC
+    Column expressions alone, so that a task needs no Python worker beside that of the operator on the images.
+    """
+    n, side = MOSAIC * MOSAIC, MOSAIC * 8
     rows = images(spark, sf_dir)
-    kind = dict(rows.dtypes)["label"]
-    rows = rows.select(F.floor(F.col("img") / n).alias("img"), "label", F.struct((F.col("img") % n).cast("int").alias("tile"), "g").alias("t"))
-    whole = rows.groupBy("img").agg(F.min_by("label", "t.tile").alias("label"), F.collect_list("t").alias("tiles"))
-    return in_arrow(whole, run, f"img long, label {kind}, h int, w int, data binary")
+    tile = F.struct(F.pmod("img", F.lit(n)).cast("int").alias("tile"), F.when(F.size("g") == 64, hexed("g")).alias("px"))
+    whole = rows.select(F.floor(F.col("img") / n).alias("img"), "label", tile.alias("t")).groupBy("img").agg(F.min_by("label", "t.tile").alias("label"), F.collect_list("t").alias("tiles"))
+    blank = F.when(F.col("img").isNotNull(), "80" * 64)
+    every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.array_max(F.filter("tiles", lambda t: t["tile"] == i)), F.struct(i.alias("tile"), blank.alias("px")))["px"])
+    # eight pixels of a tile at a time, in the order of the image's rows; a tile that is no image of 8 x 8 leaves too few bytes
+    strip = lambda all_, i: F.substring(all_[F.floor(i / side).cast("int") * MOSAIC + i % MOSAIC], F.floor(i / MOSAIC).cast("int") % 8 * 16 + 1, 16)
+    # an array of one array: its only element is computed once, not for each strip
+    data = F.transform(F.array(every), lambda all_: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(side * MOSAIC - 1)), lambda i: strip(all_, i)), ""))[0]
+    return whole.select("img", "label", F.lit(side).alias("h"), F.lit(side).alias("w"), F.unhex(data).alias("data"))
 
 
 def pixel_rows(df: DataFrame, image: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
