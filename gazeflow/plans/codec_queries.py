@@ -29,9 +29,10 @@ def sweep(df: DataFrame, qualities: tuple[int, ...] = jpeg.QUALITIES, keep: bool
     def f(stack: np.ndarray):
         n, h, w = stack.shape
         rows: dict[str, list] = {k: [] for k in ("quality", "n_codes", "n_bits", "n_bytes", "mse", "ssim", "file")}
-        for q in qualities:
-            files, codes, bits = jpeg.encode(stack, q)
-            back = np.stack(jpeg.decode(files))
+        made = [jpeg.encode(stack, q) for q in qualities]
+        read = iter(jpeg.decode([file for files, _, _ in made for file in files]))  # as many steps as the longest file has codes, not that many for each quality
+        for q, (files, codes, bits) in zip(qualities, made, strict=True):
+            back = np.stack([next(read) for _ in files])
             rows["quality"] += [q] * n
             rows["n_codes"] += codes.tolist()
             rows["n_bits"] += bits.tolist()
