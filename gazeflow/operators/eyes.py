@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grids import element
-from ..session import in_arrow
-from . import filters, frames, inpaint, jpeg, kernel, packed, regions, spectra
+from ..session import in_arrow, stored
+from . import filters, frames, inpaint, jpeg, kernel, packed, regions, spectra, waves
 
 FAMILIES = ("morph", "transform", "hog", "lbp")
 #: Machines by their text, loaded once in each worker.
-_LOADED: dict[str, kernel.Machine] = {}
+_LOADED: dict[str, kernel.Machine | kernel.Waves] = {}
 
 
 def dark_region(image: np.ndarray, share: float = 0.7) -> np.ndarray:
@@ -99,7 +99,13 @@ def featured(files: list[bytes | None], families: tuple[str, ...] = FAMILIES) ->
     return [image if isinstance(image, ValueError) else vector(image, families) for image in decoded([data or b"" for data in files])]
 
 
-def machine_of(text: str) -> kernel.Machine:
+def places(families: tuple[str, ...] = FAMILIES) -> tuple[tuple[int, int], ...]:
+    """Where each family's features begin and end in a vector of all of them."""
+    ends = np.cumsum([0, *(len(vector(np.zeros((64, 64), np.uint8), (f,))) for f in families)]).tolist()
+    return tuple(zip(ends, ends[1:]))
+
+
+def machine_of(text: str) -> kernel.Machine | kernel.Waves:
     """A machine by its text, loaded once in a process."""
     if text not in _LOADED:
         _LOADED.clear()
@@ -116,16 +122,6 @@ def predict(data: bytes, machine: str, families: tuple[str, ...] = FAMILIES) ->
     return p >= 0.5, p
 
 
-def probability(machine):
-    """A vectorised function from feature arrays to the probability of an open eye, by a broadcast machine's text."""
-
-    @F.pandas_udf("double")
-    def p_open(x: pd.Series) -> pd.Series:
-        return pd.Series(machine_of(machine.value).probabilities(np.stack(x.to_list())) if len(x) else [], dtype=float)
-
-    return p_open
-
-
 def vectors(files: DataFrame, keys: tuple[str, ...], families: tuple[str, ...] = FAMILIES, content: str = "content") -> DataFrame:
     """(keys, x, error): features of image files, and why a file has none. Works on tables and streams."""
     schema = ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", x array<double>, error string"
@@ -140,12 +136,15 @@ def vectors(files: DataFrame, keys: tuple[str, ...], families: tuple[str, ...] =
     return in_arrow(files.select(*keys, F.col(content)), run, schema)
 
 
-def fitted(rows: DataFrame, key: str, label: str, most: int = 1000, features=None, **options) -> str:
-    """The text of a machine fitted on (key, x, label): at most ``most`` rows, those with the least hashes of their keys.
+def fitted(rows: DataFrame, key: str, label: str, most: int | None = None, features=None, **options) -> str:
+    """The text of a machine fitted on all of (key, x, label), whose rows are read three times.
 
-    ``features`` makes rows with x of rows without; it then sees little more than the rows that are fitted on. Hashes are cut
-    off where about twice as many rows are left, so that the driver gets no more than these from however many partitions.
+    ``features`` makes rows with x of rows without, once. Given ``most``, it is the exact dual's of at most so many rows, those
+    with the least hashes of their keys; ``features`` then sees little more than these. Hashes are cut off where about twice
+    as many rows are left, so that the driver gets no more than these from however many partitions.
     """
+    if most is None:
+        return waves.fit(stored(features(rows), "vectors") if features else rows, key, label, **options).machine().dumped()
     h = F.md5(F.col(key).cast("string"))
     share = 2 * most / max(1, rows.where(F.col(label).isNotNull()).count())
     while True:
@@ -158,21 +157,31 @@ def fitted(rows: DataFrame, key: str, label: str, most: int = 1000, features=Non
     return kernel.fit(np.array([r[0] for r in some]), np.array([bool(r[1]) for r in some]), **options).dumped()
 
 
-def predictions(files: DataFrame, machine: str, keys: tuple[str, ...], families: tuple[str, ...] = FAMILIES, content: str = "content") -> DataFrame:
-    """(keys, closed, p_open, error) of image files by a machine that is broadcast once. Works on tables and streams.
-
-    A file that can't be read counts as an open eye, as an unknown state does, and says why.
-    """
-    shared = files.sparkSession.sparkContext.broadcast(machine)
-    schema = ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", closed boolean, p_open double, error string"
+def judged(rows: DataFrame, columns: tuple[str, ...], found, machine: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, closed, p_open, error) by what ``found`` makes of a batch of keys and columns: a vector of each row, or why it has none."""
+    shared = rows.sparkSession.sparkContext.broadcast(machine)
+    schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", closed boolean, p_open double, error string"
 
     def run(batches):
         for batch in frames.parts(batches):
             out = []
-            for x in featured(batch.column(len(keys)).to_pylist(), families):
+            for x in found(batch):
                 p = None if isinstance(x, ValueError) else float(machine_of(shared.value).probabilities(x[None])[0])
                 out.append((p is not None and p < 0.5, p, str(x)[:200] if p is None else None))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *(pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.float64(), pa.string()), strict=True))], names=[*keys, "closed", "p_open", "error"])
 
-    return in_arrow(files.select(*keys, F.col(content)), run, schema)
+    return in_arrow(rows.select(*keys, *columns), run, schema)
+
+
+def predictions(files: DataFrame, machine: str, keys: tuple[str, ...], families: tuple[str, ...] = FAMILIES, content: str = "content") -> DataFrame:
+    """(keys, closed, p_open, error) of image files by a machine that is broadcast once. Works on tables and streams.
+
+    A file that can't be read counts as an open eye, as an unknown state does, and says why.
+    """
+    return judged(files, (content,), lambda batch: featured(batch.column(len(keys)).to_pylist(), families), machine, keys)
+
+
+def classified(rows: DataFrame, machine: str, keys: tuple[str, ...]) -> DataFrame:
+    """The same of (keys, x, error) that ``vectors`` has made of the files."""
+    return judged(rows, ("x", "error"), lambda batch: [ValueError(e) if x is None else np.array(x) for x, e in zip(*(batch.column(len(keys) + i).to_pylist() for i in (0, 1)), strict=True)], machine, keys)

@@ -1,4 +1,4 @@
-"""A support vector machine with a radial kernel: its exact dual on a bounded sample, and a predictor that needs numpy alone."""
+"""Machines with a radial kernel: the exact dual of a support vector machine on rows in memory, and predictors that need numpy alone."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Rows at most that a machine is fitted on: the kernel of so many takes 128 MB.
+#: Rows at most that the dual is solved for: the kernel of so many takes 128 MB.
 ROWS = 4000
 
 
@@ -46,25 +46,52 @@ def dual(kernel: np.ndarray, y: np.ndarray, c: float, tolerance: float = 1e-4, s
     return a, float((gain[up].max(initial=gain.min()) + gain[down].min(initial=gain.max())) / 2)
 
 
+def bends(score: np.ndarray, target: np.ndarray, s: float, t: float) -> np.ndarray:
+    """Sums over rows: the log loss's first (2) and second (3) derivatives by the curve's slope and shift."""
+    p = 1 / (1 + np.exp(-np.clip(s * score + t, -35, 35)))
+    w = p * (1 - p)
+    return np.array([((p - target) * score).sum(), (p - target).sum(), (w * score * score).sum(), (w * score).sum(), w.sum()])
+
+
+def targets(good: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Smoothed shares of good rows, by the numbers of good rows and others."""
+    return np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+
+
+def newton(sums: np.ndarray) -> np.ndarray:
+    """The step of slope and shift by what ``bends`` sums up over all rows."""
+    g1, g2, h11, h12, h22 = sums
+    return np.linalg.solve(np.array([[h11, h12], [h12, h22]]) + 1e-10 * np.eye(2), np.array([g1, g2]))
+
+
 def platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve from scores to shares of good rows, by Newton steps on smoothed targets."""
-    n1, n0 = good.sum(), (~good).sum()
-    target = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    target = targets(good, good.sum(), (~good).sum())
     s, t = 1.0, 0.0
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(s * score + t, -35, 35)))
-        g = np.array([((p - target) * score).sum(), (p - target).sum()])
-        w = p * (1 - p)
-        h = np.array([[(w * score * score).sum(), (w * score).sum()], [(w * score).sum(), w.sum()]]) + 1e-10 * np.eye(2)
-        move = np.linalg.solve(h, g)
+        move = newton(bends(score, target, s, t))
         s, t = s - move[0], t - move[1]
         if np.abs(move).max() < 1e-9:
             break
     return float(s), float(t)
 
 
+class Predictor:
+    """What machines of either kind share: probabilities of scores, and their text."""
+
+    slope: float
+    shift: float
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(x) + self.shift, -35, 35)))
+
+    def dumped(self) -> str:
+        arrays = {k: {"shape": v.shape, "data": base64.b64encode(v.astype("<f8").tobytes()).decode()} for k, v in vars(self).items() if isinstance(v, np.ndarray)}
+        return json.dumps(arrays | {k: v for k, v in vars(self).items() if not isinstance(v, np.ndarray)})
+
+
 @dataclass(frozen=True)
-class Machine:
+class Machine(Predictor):
     """A fitted machine: scaling, support rows with their signed weights, bias, gamma, and the curve to probabilities."""
 
     centre: np.ndarray
@@ -79,17 +106,28 @@ class Machine:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return radial((x - self.centre) / self.scale, self.rows, self.gamma) @ self.weights + self.bias
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.scores(x) + self.shift, -35, 35)))
 
-    def dumped(self) -> str:
-        arrays = {k: {"shape": v.shape, "data": base64.b64encode(v.astype("<f8").tobytes()).decode()} for k, v in vars(self).items() if isinstance(v, np.ndarray)}
-        return json.dumps(arrays | {k: v for k, v in vars(self).items() if not isinstance(v, np.ndarray)})
+@dataclass(frozen=True)
+class Waves(Predictor):
+    """A fitted machine on random Fourier features of the radial kernel: its size does not depend on the rows it was fitted on."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    waves: np.ndarray
+    phases: np.ndarray
+    weights: np.ndarray
+    bias: float
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return np.cos((x - self.centre) / self.scale @ self.waves + self.phases) @ self.weights + self.bias
 
 
-def loaded(text: str) -> Machine:
+def loaded(text: str) -> Machine | Waves:
     raw = json.loads(text)
-    return Machine(**{k: np.frombuffer(base64.b64decode(v["data"]), "<f8").reshape(v["shape"]) if isinstance(v, dict) else v for k, v in raw.items()})
+    kind = Waves if "waves" in raw else Machine
+    return kind(**{k: np.frombuffer(base64.b64decode(v["data"]), "<f8").reshape(v["shape"]) if isinstance(v, dict) else v for k, v in raw.items()})
 
 
 def fit(x: np.ndarray, good: np.ndarray, c: float = 10.0, gamma: float | None = None, folds: int = 5) -> Machine:

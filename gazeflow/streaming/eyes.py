@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import eyes, frames, inpaint, jpeg
 from ..plans.vigilance import AlertConfig, alerts
-from ..session import in_arrow, stored
+from ..session import discard, in_arrow, stored
 from .vigilance import OUTPUT, Tracker
 
 SECOND = 1_000_000
@@ -39,8 +39,12 @@ KEYS = ("session", "frame", "micros")
 
 def alert_table(files: DataFrame, machine: str, cfg: AlertConfig = CAMERA) -> DataFrame:
     """(session, frame, ts, perclos, n, alert) of all frames of a table of image files."""
-    seen = eyes.predictions(files, machine, KEYS).withColumn("ts", F.timestamp_micros("micros"))
-    return alerts(seen, cfg)
+    return timeline(eyes.predictions(files, machine, KEYS), cfg)
+
+
+def timeline(seen: DataFrame, cfg: AlertConfig = CAMERA) -> DataFrame:
+    """The same of classified frames."""
+    return alerts(seen.withColumn("ts", F.timestamp_micros("micros")), cfg)
 
 
 STATE = "last long, wait_micros array<long>, wait_frames array<long>, wait_closed array<boolean>, times array<long>, closed array<boolean>, alert boolean, since long"
@@ -103,8 +107,16 @@ def eye_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_arrow(rows, run, "session long, frame long, micros long, is_open boolean, content binary")
 
 
+def eye_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, frame, micros, is_open, x, error) of all frames' files, stored: features of all families are made once."""
+    files = stored(eye_sequence(spark, sf_dir), "files")
+    seen = stored(eyes.vectors(files, (*KEYS, "is_open")), "vectors")
+    discard(files)
+    return seen
+
+
 def eye_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A machine is fitted on the first three sessions' frames; all frames are classified and tracked."""
     files = stored(eye_sequence(spark, sf_dir), "files")
-    machine = eyes.fitted(files.where("session < 3"), "frame", "is_open", features=lambda some: eyes.vectors(some, ("frame", "is_open")))
+    machine = eyes.fitted(files.where("session < 3"), "frame", "is_open", 1000, features=lambda some: eyes.vectors(some, ("frame", "is_open")))
     return alert_table(files, machine).select("session", "frame", F.round("perclos", 6).alias("perclos"), "n", "alert")
