@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,34 +17,43 @@ from ..session import in_arrow, stored
 from . import filters, frames, inpaint, jpeg, kernel, packed, regions, spectra, waves
 
 FAMILIES = ("morph", "transform", "hog", "lbp")
+#: Files that are decoded at once if they have so few bytes each, and images whose features are made at once.
+FILES, SMALL, IMAGES = 256, 4096, 64
 #: Machines by their text, loaded once in each worker.
 _LOADED: dict[str, kernel.Machine | kernel.Waves] = {}
 
 
-def dark_region(image: np.ndarray, share: float = 0.7) -> np.ndarray:
-    """The cleaned mask of what is darker than a share of Otsu's threshold."""
-    mask = (image < filters.otsu(image[None])[0] * share).astype(np.int64)
-    return regions.opened_closed(mask[None], element("ellipse", 3), element("ellipse", 5))[0]
+def dark_regions(stack: np.ndarray, share: float = 0.7) -> np.ndarray:
+    """The cleaned masks of what is darker than a share of Otsu's threshold."""
+    masks = (stack < (filters.otsu(stack) * share)[:, None, None]).astype(np.int64)
+    return regions.opened_closed(masks, element("ellipse", 3), element("ellipse", 5))
 
 
-def vector(image: np.ndarray, families: tuple[str, ...] = FAMILIES, cfg: inpaint.Preparation = inpaint.Preparation()) -> np.ndarray:
-    """Features of a gray image of any size, by families in their order; what is not finite becomes 0, or a million of its sign."""
-    ready = inpaint.prepared(image, cfg)
+def vectors_of(images: list[np.ndarray], families: tuple[str, ...] = FAMILIES, cfg: inpaint.Preparation = inpaint.Preparation()) -> np.ndarray:
+    """Features of gray images of any size, by families in their order; what is not finite becomes 0, or a million of its sign.
+
+    A row of each image, the same in whatever stack it stands.
+    """
+    ready = np.stack([inpaint.prepared(image, cfg) for image in images])
     parts = []
     for family in families:
         if family == "morph":
-            found = regions.shape_rows(dark_region(ready)[None])
-            parts.append([found[c][0] for c in regions.SHAPE])
+            found = regions.shape_rows(dark_regions(ready), outline=False)
+            parts.append(np.stack([found[c] for c in regions.SHAPE], 1))
         elif family == "transform":
-            found = spectra.feature_rows(ready[None])
-            parts.append([float(found[c][0]) for c in spectra.COLUMNS])
+            found = spectra.feature_rows(ready)
+            parts.append(np.stack([found[c].astype(float) for c in spectra.COLUMNS], 1))
         elif family == "hog":
-            parts.append(packed.hog(ready))
+            parts.append(np.stack([packed.hog(image) for image in ready]).astype(float))
         elif family == "lbp":
-            parts.append(packed.lbp_histogram(ready))
+            parts.append(np.stack([packed.lbp_histogram(image) for image in ready]))
         else:
             raise ValueError(f"no family {family!r}")
-    return np.nan_to_num(np.concatenate([np.asarray(p, float) for p in parts]), nan=0.0, posinf=1e6, neginf=-1e6)
+    return np.nan_to_num(np.concatenate(parts, 1), nan=0.0, posinf=1e6, neginf=-1e6)
+
+
+def vector(image: np.ndarray, families: tuple[str, ...] = FAMILIES, cfg: inpaint.Preparation = inpaint.Preparation()) -> np.ndarray:
+    return vectors_of([image], families, cfg)[0]
 
 
 def decoded(files: list[bytes]) -> list[np.ndarray | ValueError]:
@@ -96,7 +106,12 @@ def png_image(data: bytes) -> np.ndarray:
 
 def featured(files: list[bytes | None], families: tuple[str, ...] = FAMILIES) -> list[np.ndarray | ValueError]:
     """The features of image files; an error in place of those of a file that can't be read."""
-    return [image if isinstance(image, ValueError) else vector(image, families) for image in decoded([data or b"" for data in files])]
+    out: list = decoded([data or b"" for data in files])
+    good = [i for i, image in enumerate(out) if not isinstance(image, ValueError)]
+    for some in (good[i : i + IMAGES] for i in range(0, len(good), IMAGES)):
+        for i, x in zip(some, vectors_of([out[i] for i in some], families), strict=True):
+            out[i] = x
+    return out
 
 
 def places(families: tuple[str, ...] = FAMILIES) -> tuple[tuple[int, int], ...]:
@@ -105,6 +120,12 @@ def places(families: tuple[str, ...] = FAMILIES) -> tuple[tuple[int, int], ...]:
     return tuple(zip(ends, ends[1:]))
 
 
+def parts(batches: Iterator[pa.RecordBatch], content: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into as many rows as are handled at once, by the bytes of the files in a column."""
+    for batch in batches:
+        yield from frames.parts([batch], FILES if batch.column(content).nbytes <= SMALL * batch.num_rows else frames.ROWS)
+
+
 def machine_of(text: str) -> kernel.Machine | kernel.Waves:
     """A machine by its text, loaded once in a process."""
     if text not in _LOADED:
@@ -127,7 +148,7 @@ def vectors(files: DataFrame, keys: tuple[str, ...], families: tuple[str, ...] =
     schema = ", ".join(f"{k} {dict(files.dtypes)[k]}" for k in keys) + ", x array<double>, error string"
 
     def run(batches):
-        for batch in frames.parts(batches):
+        for batch in parts(batches, len(keys)):
             found = featured(batch.column(len(keys)).to_pylist(), families)
             errors = [str(x)[:200] if isinstance(x, ValueError) else None for x in found]
             xs = [None if isinstance(x, ValueError) else x.tolist() for x in found]
@@ -163,7 +184,7 @@ def judged(rows: DataFrame, columns: tuple[str, ...], found, machine: str, keys:
     schema = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys) + ", closed boolean, p_open double, error string"
 
     def run(batches):
-        for batch in frames.parts(batches):
+        for batch in parts(batches, len(keys)):
             out = []
             for x in found(batch):
                 p = None if isinstance(x, ValueError) else float(machine_of(shared.value).probabilities(x[None])[0])

@@ -16,6 +16,7 @@ def power(stack: np.ndarray) -> np.ndarray:
     return np.fft.fftshift(np.abs(np.fft.fft2(stack.astype(float))) ** 2, axes=(1, 2))
 
 
+@functools.lru_cache(16)
 def distances(h: int, w: int) -> np.ndarray:
     y, x = np.mgrid[:h, :w]
     return np.sqrt(((y - h // 2) ** 2 + (x - w // 2) ** 2).astype(float))
@@ -23,7 +24,8 @@ def distances(h: int, w: int) -> np.ndarray:
 
 def high_share(p: np.ndarray, radius: float = 8) -> np.ndarray:
     """Share of the power outside of a disc; 0 without any."""
-    total, outside = p.sum((1, 2)), p[:, distances(*p.shape[1:]) > radius].sum(1)
+    # in the order of one image's values, so that an image has the same share in any stack
+    total, outside = p.sum((1, 2)), np.ascontiguousarray(p[:, distances(*p.shape[1:]) > radius]).sum(1)
     return np.where(total > 0, outside / np.where(total > 0, total, 1), 0.0)
 
 

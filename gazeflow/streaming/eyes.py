@@ -19,6 +19,8 @@ from .vigilance import OUTPUT, Tracker
 SECOND = 1_000_000
 #: Window and dwell times of a camera's frames: ten seconds, one to enter, two to leave.
 CAMERA = AlertConfig(window=10 * SECOND, enter=0.15, exit=0.10, enter_dwell=SECOND, exit_dwell=2 * SECOND)
+#: Frames of a task at most that makes their files.
+FRAMES = 5000
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -104,7 +106,9 @@ def eye_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["session", "frame", "micros", "is_open", "content"])
 
     rows = frames.small_images(spark, sf_dir).select((F.col("img") % 5).alias("session"), F.col("img").alias("frame"), (F.floor(F.col("img") / 5) * 100_000).alias("micros"), (F.col("label") % 2 == 1).alias("is_open"), "data")
-    return in_arrow(rows, run, "session long, frame long, micros long, is_open boolean, content binary")
+    # a few kilobytes of embeddings are seconds of work, so they are dealt out by their number
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // FRAMES))
+    return in_arrow(rows.repartition(tasks), run, "session long, frame long, micros long, is_open boolean, content binary")
 
 
 def eye_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
