@@ -120,7 +120,7 @@ def eye_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eye_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A machine is fitted on the first three sessions' frames; all frames are classified and tracked."""
-    files = stored(eye_sequence(spark, sf_dir), "files")
-    machine = eyes.fitted(files.where("session < 3"), "frame", "is_open", 1000, features=lambda some: eyes.vectors(some, ("frame", "is_open")))
-    return alert_table(files, machine).select("session", "frame", F.round("perclos", 6).alias("perclos"), "n", "alert")
+    """A machine is fitted on all frames of the first three sessions; all frames are classified and tracked."""
+    seen = eye_vectors(spark, sf_dir)
+    machine = eyes.fitted(seen.where("session < 3"), "frame", "is_open")
+    return timeline(eyes.classified(seen, machine, KEYS)).select("session", "frame", F.round("perclos", 6).alias("perclos"), "n", "alert")
