@@ -5,7 +5,7 @@ import pytest
 from gazeflow.functions.grids import SQUARE
 from gazeflow.plans import image_queries
 
-STEPS = {"mask_open_square": (min, max), "mask_erode_square": (min,)}
+STEPS = {"mask_open_square": (min, max), "mask_erode_square": (min,), "mask_close_square": (max, min)}
 DARK, LIGHT = -0.4, 0.4
 
 
